@@ -34,3 +34,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     picked = lab.where("label = 0").orderBy("__o", "__id").limit(per_class).union(lab.where("label = 1").orderBy("__o", "__id").limit(per_class))
     picked = small(picked.select("__id", "label"), 2 * per_class)
     return docs.select(F.col("doc_id"), F.col("text")).join(picked, F.col("doc_id") == F.col("__id")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
+
+
+def filtered(docs: DataFrame, mask) -> DataFrame:
+    """The rows of ``docs``, all columns, for which ``mask(text column of an Arrow batch)`` (a function on the executors) is true."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(mask(batch.column(at)))
+
+    return docs.mapInArrow(run, docs.schema)
