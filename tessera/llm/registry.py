@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from tessera.llm import ctw, decontaminate, fixity, packing, quality, repetition, sharding, toxicity, urlfilter
+import corpus_pipeline
+from tessera.llm import ctw, decontaminate, fixity, near, packing, quality, repetition, sharding, toxicity, urlfilter
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_fixity": fixity.op1_fixity,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_sharding": sharding.op3_sharding,
+    "op4_near": near.op4_near,
     "op5_ctw": ctw.op5_ctw,
     "op6_packing": packing.op6_packing,
     "op7_repetition": repetition.op7_repetition,
@@ -16,3 +19,5 @@ QUERIES = {
     "op10_urlfilter": urlfilter.op10_urlfilter,
 }
 ORACLES = {"op1_fixity": fixity.SQL, "op3_sharding": sharding.SQL, "op10_urlfilter": urlfilter.SQL}
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
