@@ -27,9 +27,9 @@ def query(sql: str | None = None, name: str | None = None):
     return register
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to six places, as float sums differ in their last bits with the order of addition."""
-    return df.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+def rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    """Doubles to six places, as float sums differ in their last bits with the order of addition; large ones to fewer."""
+    return df.select(*(F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
 def r6(sql: str) -> str:
@@ -422,7 +422,7 @@ def test_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""SELECT lang AS language, count(*) AS symbols, count(*) FILTER (doc_id % 5 = 0) AS functions, count(*) FILTER (doc_id % 5 = 1) AS types, count(*) FILTER (doc_id % 5 = 2) AS constants, count(*) FILTER (doc_id % 5 > 2) AS other,
-  count(l.doc_id) AS documented, {r6("count(*) * 1000 / nullif(sum(len(list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '\\S')))), 0)::DOUBLE")} AS public_symbols_per_ksloc FROM documents LEFT JOIN labels l USING (doc_id) GROUP BY lang""")
+  count(l.doc_id) AS documented, {r6("count(*) * 1000 / nullif(sum(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\\S')))), 0)::DOUBLE")} AS public_symbols_per_ksloc FROM documents LEFT JOIN labels l USING (doc_id) GROUP BY lang""")
 def api_counts(spark: SparkSession, d: str) -> DataFrame:
     """Documents as symbols: the kind by the id, documented where labelled; ex-ports of no kind count as other."""
     docs = b.table(spark, d, "documents").select("doc_id", "lang", scalars.nonblank_lines(F.col("text")).alias("lines"))
@@ -441,9 +441,9 @@ def bench_latency(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {b.RECEIPTS}, r AS (SELECT run, 1000.0::DOUBLE * 1e9 / greatest(elapsed_ns, 1) AS r FROM receipts WHERE ordinal > 0)
-SELECT run, count(*) AS samples, {r6("min(r)")} AS min_rate, {r6("quantile_disc(r, 0.5)")} AS p50_rate, {r6("quantile_disc(r, 0.95)")} AS p95_rate, {r6("quantile_disc(r, 0.99)")} AS p99_rate, {r6("max(r)")} AS max_rate FROM r GROUP BY run""")
+SELECT run, count(*) AS samples, round(min(r), 3) AS min_rate, round(quantile_disc(r, 0.5), 3) AS p50_rate, round(quantile_disc(r, 0.95), 3) AS p95_rate, round(quantile_disc(r, 0.99), 3) AS p99_rate, round(max(r), 3) AS max_rate FROM r GROUP BY run""")
 def bench_rates(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(receipts.rates(b.receipts(spark, d), 1000))
+    return rounded(receipts.rates(b.receipts(spark, d), 1000), 3)
 
 
 @query(f"""WITH {b.RECEIPTS} SELECT event_type, CAST(sum(elapsed_ns) AS BIGINT) AS elapsed_ns, CASE WHEN count(*) = count(CASE WHEN event_type <> 'error' THEN 1 END) THEN count(*) END AS units, max(elapsed_ns) AS peak_ns FROM receipts GROUP BY event_type""")
@@ -477,7 +477,7 @@ def audit_dangling_refs(spark: SparkSession, d: str) -> DataFrame:
   CASE WHEN conv_id % 4 = 0 THEN '../up.md' ELSE 'docs/p.md#x' END AS procedure, '20' || lpad(CAST(conv_id % 100 AS VARCHAR), 2, '0') || '-' || lpad(CAST(conv_id % 14 AS VARCHAR), 2, '0') || '-10T10:00:00Z' AS ts FROM conversations)
 SELECT code, count(*) AS issues FROM (SELECT unnest(list_filter([CASE WHEN instrument NOT IN ('mechanical', 'empirical', 'judged') THEN 'invalid_instrument' END,
   CASE WHEN NOT regexp_matches(artifact, '^[^\\s@]+@[0-9a-fA-F]{7,}( vs [^\\s@]+@[0-9a-fA-F]{7,})?$') THEN 'invalid_artifact_identity' END, CASE WHEN procedure LIKE '../%' THEN 'unsafe_reference' END,
-  CASE WHEN CAST(substr(ts, 6, 2) AS INTEGER) NOT BETWEEN 1 AND 12 THEN 'invalid_timestamp' END], x -> x IS NOT NULL)) AS code FROM r) GROUP BY code""")
+  CASE WHEN CAST(substr(ts, 6, 2) AS INTEGER) NOT BETWEEN 1 AND 12 THEN 'invalid_timestamp' END], lambda x: x IS NOT NULL)) AS code FROM r) GROUP BY code""")
 def audit_field_issues(spark: SparkSession, d: str) -> DataFrame:
     c = b.table(spark, d, "conversations")
     m = F.md5("text")
@@ -519,7 +519,7 @@ def pareto_frontier(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {b.PLAN}, g AS (SELECT claim_id, list({{'s': sensitivity, 'c': specificity}} ORDER BY id) AS ps FROM probes GROUP BY claim_id),
 m AS (SELECT claim_id, ps, unnest(range(0, CAST(2 ** len(ps) AS BIGINT))) AS mask FROM g),
-o AS (SELECT claim_id, mask, list_product(list_transform(ps, (x, i) -> CASE WHEN (mask >> (i - 1)) & 1 = 1 THEN x.s ELSE 1 - x.s END)) AS a, list_product(list_transform(ps, (x, i) -> CASE WHEN (mask >> (i - 1)) & 1 = 1 THEN 1 - x.c ELSE x.c END)) AS z FROM m),
+o AS (SELECT claim_id, mask, list_product(list_transform(ps, lambda x, i: CASE WHEN (mask >> (i - 1)) & 1 = 1 THEN x.s ELSE 1 - x.s END)) AS a, list_product(list_transform(ps, lambda x, i: CASE WHEN (mask >> (i - 1)) & 1 = 1 THEN 1 - x.c ELSE x.c END)) AS z FROM m),
 q AS (SELECT claim_id, c.prior_probability * a AS t, (1 - c.prior_probability) * z AS f, c.* FROM o JOIN claims c ON c.id = o.claim_id),
 s AS (SELECT claim_id, any_value(prior_probability) AS pi, any_value(false_positive_loss) AS lp, any_value(false_negative_loss) AS ln_, count(*) AS outcomes, sum(CASE WHEN t + f > 0 THEN (t + f) * {H("(t / (t + f))")} ELSE 0 END) AS after_, sum(least(f * false_positive_loss, t * false_negative_loss)) AS cost FROM q GROUP BY claim_id)
 SELECT claim_id, outcomes, {r6(f"greatest(0, {H('pi')} - after_)")} AS information_bits, {r6("greatest(0, least((1 - pi) * lp, pi * ln_) - cost)")} AS risk_reduction FROM s""")
