@@ -41,7 +41,7 @@ def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
             ids, at = np.unique(np.concatenate([pdf["a"].to_numpy(), pdf["b"].to_numpy()]), return_inverse=True)
             return pd.DataFrame({"id": ids, "root": ids[labels(at[: len(pdf)], at[len(pdf) :], len(ids))]})
 
-        return edges.groupBy(F.lit(0)).applyInPandas(one, "id long, root long")
+        return edges.repartition(1).groupBy((F.col("a") * 0).alias("__all")).applyInPandas(one, "id long, root long")
     state = None
     while True:
         edges = cut(_small_star(_large_star(edges)))
