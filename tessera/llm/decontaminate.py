@@ -122,7 +122,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, theta: float
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = N, theta: float = THETA) -> DataFrame:
     """The documents without a benchmark item in them, with all their columns."""
     bad = cut(contaminated(docs, benchmark, n, theta).select(F.col("doc_id").alias("__d"), F.col("sig").alias("__s")).distinct())
-    return docs.join(small(bad), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__s")), "left_anti")
+    return docs.join(small(bad), docs["doc_id"].eqNullSafe(bad["__d"]) & (F.xxhash64(docs["text"]) == bad["__s"]), "left_anti")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

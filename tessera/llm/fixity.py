@@ -77,7 +77,7 @@ def starts(nodes: DataFrame) -> DataFrame:
 
 
 def audit(primary: DataFrame, replica: DataFrame, key: str = "page_id", fields: tuple[str, ...] = ("url", "html"), width: int = WIDTH, fanout: int = FANOUT, levels: int = LEVELS) -> DataFrame:
-    """Rows for the ids whose records differ: id, status (changed, missing, extra), offsets in the primary (where an extra one would be), leaf range and hashes."""
+    """Rows for the ids whose records differ: id, status (changed, missing, extra), offsets in the primary (where an extra one would be; null if the primary lacks its whole leaf range), leaf range and hashes."""
     fields = list(fields)
     sides = [cut(leaves(x, key, fields, width)) for x in (primary, replica)]
     trees = [[x] for x in sides]

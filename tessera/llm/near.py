@@ -200,12 +200,12 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The documents, all columns, without all but the least doc_id of each group, and each repeated (doc_id, text) once. Null ids stay."""
     gone = cut(near_groups(docs, **options).where("doc_id != group_id").select(F.col("doc_id").alias("__gone")))
     again = cut(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("__again")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__again"))
-    rest = docs.join(small(gone), F.col("doc_id") == F.col("__gone"), "left_anti")
+    rest = docs.join(small(gone), docs["doc_id"] == gone["__gone"], "left_anti")
     twice = again.count()
     if not twice:
         return rest
-    repeated = rest.join(small(again, twice), F.col("doc_id") == F.col("__again"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return rest.join(small(again, twice), F.col("doc_id") == F.col("__again"), "left_anti").unionByName(repeated)
+    repeated = rest.join(small(again, twice), rest["doc_id"] == again["__again"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return rest.join(small(again, twice), rest["doc_id"] == again["__again"], "left_anti").unionByName(repeated)
 
 
 def op4_near(spark: SparkSession, sf_dir: str) -> DataFrame:

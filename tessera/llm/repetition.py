@@ -6,7 +6,7 @@ of all n-grams that occur more than once. ``dup_lines``: characters of lines wit
 A document is kept if every fraction is within its limit.
 
 Defined cases: a null or empty text has fractions of 0 and is kept; a document shorter than an n-gram has 0 for it; of equally
-frequent n-grams the longest counts; null ids and repeated rows give a row each; an empty table gives none; other columns are not read.
+frequent n-grams the longest counts, measured where it first occurs; null ids and repeated rows give a row each; an empty table gives none; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,9 +24,9 @@ LIMITS = {"top_2": 0.20, "top_3": 0.30, "top_4": 0.35, **dict.fromkeys(["dup_5",
 SCHEMA = "doc_id long, n_chars long, " + ", ".join(f"{k} double" for k in LIMITS) + ", keep boolean"
 
 
-def repeats(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sort order of ``key``, starts of its groups in that order, and their sizes."""
-    order = np.argsort(key)
+def repeats(key: np.ndarray, kind: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sort order of ``key`` (equal ones in any order unless ``kind`` is stable), starts of its groups in that order, and their sizes."""
+    order = np.argsort(key, kind=kind)
     s = key[order]
     first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
     return order, first, np.diff(np.concatenate([first, [len(s)]]))
@@ -56,7 +56,7 @@ def coverage(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
 
     for n in (2, 3, 4):
         pos, best = whole(n), np.zeros(docs)
-        order, first, size = repeats((tk.ngrams(h, n) ^ salt[: max(0, len(h) - n + 1)])[pos])
+        order, first, size = repeats((tk.ngrams(h, n) ^ salt[: max(0, len(h) - n + 1)])[pos], "stable")
         many = size > 1
         p, size = pos[order[first[many]]], size[many]
         length, owner = end[p + n - 1] - begin[p], doc[p]
@@ -90,7 +90,7 @@ def measure(docs: DataFrame, limits: dict[str, float] = LIMITS) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids = batch.column(0)
-            for lo, hi, data, offs in tk.slices(batch.column(1), 1 << 21):
+            for lo, hi, data, offs in tk.slices(batch.column(1), 1 << 20):
                 got = coverage(data, offs)
                 keep = np.ones(hi - lo, bool)
                 for k, most in limits.items():
