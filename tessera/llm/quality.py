@@ -141,6 +141,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, seed: in
     got = [pooled(vectors, shapes, data, offs) for _, _, data, offs in parts]
     x, count = np.vstack([g[0] for g in got]).astype(float), np.concatenate([g[1] for g in got])
     good = x[y == 1].mean(axis=0)
+    del sample, context, index, parts, got
+    tk.release()
     return train(drawn(x, count, good), y, seed) | {"good": good, "vectors": vectors.astype(np.float32), "shapes": shapes}
 
 
@@ -160,7 +162,7 @@ def score(docs: DataFrame, model: dict | None, threshold: float = THRESHOLD) ->
 
 def judge(model: dict, texts, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Probability, whether there is one, and keep, for a batch of texts."""
-    got = [pooled(model["vectors"], model["shapes"], data, offs) for _, _, data, offs in tk.slices(texts, 1 << 20)]
+    got = [pooled(model["vectors"], model["shapes"], data, offs) for _, _, data, offs in tk.slices(texts, 1 << 18)]
     if not got:
         return np.zeros(0), np.zeros(0, bool), np.zeros(0, bool)
     count = np.concatenate([g[1] for g in got])

@@ -6,6 +6,7 @@ words never cross documents. Null texts count as empty. Hashes are 64-bit and th
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,7 @@ CLASS = np.where(WORD, 1, 2).astype(np.uint8)
 CLASS[[*range(0, 33), 127]] = 0
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
 _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
 
@@ -56,7 +58,7 @@ def buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offs
 
 
-def slices(column, most: int = 1 << 22) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(column, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of whole documents of about ``most`` bytes: first row, row after the last, bytes, offsets from 0. A longer document is a run of its own."""
     data, offs = buffers(column)
     lo, rows = 0, len(offs) - 1
@@ -65,6 +67,14 @@ def slices(column, most: int = 1 << 22) -> Iterator[tuple[int, int, np.ndarray,
         hi = min(hi, rows)
         yield lo, hi, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
         lo = hi
+    release()
+
+
+def release() -> None:
+    """Hands freed memory back to the system: workers live on from task to task beside an executor that needs it."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def runs(kind: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

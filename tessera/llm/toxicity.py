@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import textkit as tk
 from tessera.llm.tables import filtered, labelled_sample, table
 
 PER_CLASS, THRESHOLD, SUPPORT, FREQUENT, SHORTEST, LONGEST = 2000, 1.0, 3, 20, 4, 12
@@ -189,7 +190,10 @@ def induce(sample: list[tuple[frozenset[str], int]], base: Grammar | None = None
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Grammar:
     sample = labelled_sample(docs, labels, "toxic", per_class)
     found = sample.select("doc_id", "label", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{4,}"), 0)).alias("w")).orderBy("doc_id").collect()
-    return Grammar(induce([(frozenset(r["w"]), r["label"]) for r in found]))
+    grammar = Grammar(induce([(frozenset(r["w"]), r["label"]) for r in found]))
+    del found
+    tk.release()
+    return grammar
 
 
 def judge(stems: dict[str, float], texts) -> list[tuple[float, int]]:
