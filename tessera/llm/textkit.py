@@ -150,6 +150,9 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray
 
 
 def spans(offs: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Sums of ``values`` over [offs[i], offs[i+1]); empty spans give 0."""
-    total = np.concatenate([[0], np.cumsum(values, dtype=np.float64 if values.dtype.kind == "f" else np.int64)])
-    return total[offs[1:]] - total[offs[:-1]]
+    """Sums of ``values`` over [offs[i], offs[i+1]), each added up by itself; empty spans give 0."""
+    out = np.zeros(len(offs) - 1, np.float64 if values.dtype.kind == "f" else np.int64)
+    some = np.flatnonzero(np.diff(offs))
+    if len(some):
+        out[some] = np.add.reduceat(values, offs[some])
+    return out
