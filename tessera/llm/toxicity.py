@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter, defaultdict
+from collections.abc import Iterable
 from itertools import product
 
 import ahocorasick
@@ -154,12 +155,26 @@ class Grammar:
         return round(worst, 6), count
 
 
-def induce(sample: list[tuple[frozenset[str], int]], base: Grammar | None = None) -> dict[str, float]:
-    """Stems from (distinct words, toxic) of labelled documents."""
+class WordSets:
+    """The distinct words of some rows of a list column, made row by row each time they are gone through; equal words are one string."""
+
+    def __init__(self, lists: pa.ListArray, rows: np.ndarray):
+        coded = lists.flatten().dictionary_encode()
+        self.words, self.codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        self.offs, self.rows = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]), rows
+
+    def __iter__(self):
+        for r in self.rows:
+            yield frozenset(map(self.words.__getitem__, self.codes[self.offs[r] : self.offs[r + 1]]))
+
+
+def induce(toxic: Iterable[frozenset[str]], clean: Iterable[frozenset[str]]) -> dict[str, float]:
+    """Stems from the distinct words of labelled documents. ``clean`` is gone through twice and never held."""
     known = set(INSULT)
-    toxic = [ws for ws, label in sample if label and not ws & known]
-    clean = [ws for ws, label in sample if not label]
-    seen = set().union(*clean) if clean else set()
+    toxic = [ws for ws in toxic if not ws & known]
+    seen: set[str] = set()
+    for ws in clean:
+        seen |= ws
     where: dict[str, set[int]] = defaultdict(set)
     for i, ws in enumerate(toxic):
         for w in ws - seen:
@@ -189,9 +204,10 @@ def induce(sample: list[tuple[frozenset[str], int]], base: Grammar | None = None
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Grammar:
     sample = labelled_sample(docs, labels, "toxic", per_class)
-    found = sample.select("doc_id", "label", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{4,}"), 0)).alias("w")).orderBy("doc_id").collect()
-    grammar = Grammar(induce([(frozenset(r["w"]), r["label"]) for r in found]))
-    del found
+    found = sample.select("doc_id", "label", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{4,}"), 0)).alias("w")).orderBy("doc_id").toArrow().combine_chunks()
+    label = found.column("label").to_numpy()
+    lists = found.column("w").combine_chunks() if found.num_rows else pa.array([], pa.list_(pa.string()))
+    grammar = Grammar(induce(*(WordSets(lists, np.flatnonzero(label == k)) for k in (1, 0))))
     tk.release()
     return grammar
 
