@@ -1,9 +1,10 @@
 """N-gram Jaccard join by a MinHash LSH forest, with exact verification.
 
-A document is its set of word n-grams (case ignored). Documents of equal sets are one vertex. Each of ``trees`` prefix tries sorts all
+A document is its set of word n-grams (case ignored). Documents of equal sets are one vertex. Each of ``trees`` prefix tries holds all
 signatures of ``DEEPEST`` MinHash values; matched prefixes are shortened, from the deepest, until a pair at the threshold is met in some trie
-with the target recall. Neighbours in trie order and the heads of their prefix blocks are linked if their whole signatures look similar
-enough (three standard errors below the threshold), and linked documents form components. Within a component all pairs are
+with the target recall. All pairs of a prefix block, whatever its size, are linked if their whole signatures look similar
+enough (three standard errors below the threshold), and linked documents form components. A large block is compared in cells of
+two sub-blocks, so no task holds more than those, but the work is the square of the block. Within a component all pairs are
 checked exactly by their n-gram sets, in blocks, so each set moves once for a component that fits a block.
 
 Pairs of documents of equal sets are given as a star: the least id of the set with each other id, at similarity 1. Pairs of documents of unlike
@@ -30,7 +31,9 @@ from tessera.llm.tables import small, table
 from tessera.plans.checkpoints import cut
 
 N, THRESHOLD, TREES, DEEPEST, RECALL, SEED, BLOCK = 3, 0.5, 24, 4, 0.95, 17, 2048
-SKETCH = "id long, n int, d1 long, d2 long, keys array<long>, deep array<int>, sig binary"
+#: The pairs of a prefix block of at most so many documents are listed as rows; those of larger ones are compared in cells.
+FEW = 32
+SKETCH = "id long, n int, d1 long, d2 long, keys array<long>, sig binary"
 
 
 def depth(threshold: float, trees: int, recall: float) -> int:
@@ -55,7 +58,7 @@ def signatures(flat: np.ndarray, offs: np.ndarray, count: int, seed: int) -> np.
 
 
 def sketches(docs: DataFrame, n: int, trees: int, x: int, seed: int) -> DataFrame:
-    """Digest, trie keys at depth x, order below them, and a byte of each MinHash value, of every document with words."""
+    """Digest, trie keys at depth x, and a byte of each MinHash value, of every document with words."""
 
     def run(batches):
         for batch in batches:
@@ -71,7 +74,6 @@ def sketches(docs: DataFrame, n: int, trees: int, x: int, seed: int) -> DataFram
                 key = np.broadcast_to(tk.mix(np.arange(1, trees + 1, dtype=np.uint64)), by_tree.shape[:2])
                 for k in range(x):
                     key = tk.mix(key * tk.STEP + by_tree[:, :, k])
-                below = (m.reshape(len(some), trees, DEEPEST)[:, :, min(x, DEEPEST - 1)] >> np.uint32(1)).astype(np.int32)
                 lists = np.arange(len(some) + 1, dtype=np.int32) * trees
                 sig = (m & np.uint32(255)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
@@ -81,21 +83,41 @@ def sketches(docs: DataFrame, n: int, trees: int, x: int, seed: int) -> DataFram
                         pa.array(np.add.reduceat(flat, at[:-1]).view(np.int64)),
                         pa.array(np.add.reduceat(tk.mix(flat), at[:-1]).view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(lists), pa.array(key.reshape(-1).view(np.int64))),
-                        pa.ListArray.from_arrays(pa.array(lists), pa.array(below.reshape(-1))),
                         pa.array([row.tobytes() for row in sig], pa.binary()),
                     ],
-                    names=["id", "n", "d1", "d2", "keys", "deep", "sig"],
+                    names=["id", "n", "d1", "d2", "keys", "sig"],
                 )
 
     return docs.where("doc_id is not null").select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("text")).mapInArrow(run, SKETCH)
 
 
-def links(sets: DataFrame, least: float) -> DataFrame:
-    """Edges (a, b) between neighbours in trie order, and with the heads of their prefix blocks, whose signatures agree enough."""
-    rows = sets.select("id", F.explode(F.arrays_zip("keys", "deep")).alias("t")).select("id", F.col("t.keys").alias("key"), F.col("t.deep").alias("deep"))
-    trie = Window.partitionBy("key").orderBy("deep", "id")
-    rows = rows.select("id", F.lag("id").over(trie).alias("before"), F.first("id").over(trie).alias("head")).where("before is not null")
-    pairs = rows.select("id", F.explode(F.array("before", "head")).alias("other")).where("id != other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+def alike(x: np.ndarray, y: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that span the rows of ``x``, then of ``y``, as do all pairs of them that agree enough: within ``x``, or between both."""
+    width = x.shape[1]
+    need = np.flatnonzero((np.arange(width + 1) / width - 1 / 256) / (1 - 1 / 256) >= least)
+    need = need[0] if len(need) else width + 1
+    n, shift = len(x) + (0 if y is None else len(y)), 0 if y is None else len(x)
+    left, right = (np.ascontiguousarray(v.T) for v in (x, x if y is None else y))
+    a = b = np.zeros(0, np.int64)
+    for lo in range(0, len(x), 128):
+        start = lo if y is None else 0
+        agree = np.zeros((len(x[lo : lo + 128]), right.shape[1] - start), np.uint8 if width < 256 else np.uint16)
+        for k in range(width):
+            agree += left[k, lo : lo + 128, None] == right[None, k, start:]
+        i, j = np.nonzero(agree >= need)
+        root = labels(np.concatenate([a, i + lo]), np.concatenate([b, j + start + shift]), n)
+        b = np.flatnonzero(root != np.arange(n))
+        a = root[b]
+    return a, b
+
+
+def links(sets: DataFrame, least: float, few: int = FEW, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) that span all pairs of one prefix block whose signatures agree enough."""
+    rows = sets.select("id", F.explode("keys").alias("key"))
+    rows = cut(rows.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("m > 1"))
+    listed = rows.where(F.col("m") <= few).groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("__ids"))
+    listed = listed.select(F.explode(F.expr("flatten(transform(__ids, (x, i) -> transform(slice(__ids, i + 2, size(__ids)), y -> struct(x as a, y as b))))")).alias("p"))
+    pairs = listed.select("p.a", "p.b").where("a < b").distinct()
     left, right = (sets.select(F.col("id").alias(f"__{s}"), F.col("sig").alias(f"__sig_{s}")) for s in "ab")
     both = pairs.join(left, F.col("a") == F.col("__a")).join(right, F.col("b") == F.col("__b")).select("a", "b", "__sig_a", "__sig_b")
 
@@ -106,7 +128,19 @@ def links(sets: DataFrame, least: float) -> DataFrame:
             keep = pa.array(same >= least)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    signed = rows.where(F.col("m") > few).join(sets.select(F.col("id").alias("__id"), "sig"), F.col("id") == F.col("__id"))
+    signed = signed.withColumn("nb", F.ceil(F.col("m") / block).cast("int")).withColumn("s", F.expr("cast(pmod(xxhash64(id), nb) as int)"))
+    cells = signed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("key", "id", "s", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"), "sig")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+        pdf = pdf.drop_duplicates(["id", "sig"]).sort_values(["s", "id"], kind="stable")
+        ids, at = pdf["id"].to_numpy(), int((pdf["s"] == i).sum())
+        sigs = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(ids), -1)
+        a, b = alike(sigs, None, least) if i == j else alike(sigs[:at], sigs[at:], least)
+        return pd.DataFrame({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b])})
+
+    return both.mapInArrow(run, "a long, b long").union(cells.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long"))
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -172,16 +206,16 @@ def verified(docs: DataFrame, members: DataFrame, n: int, threshold: float, pair
     return cells.groupBy("root", "i", "j").applyInPandas(check, "a long, b long, jaccard double")
 
 
-def joined(docs: DataFrame, pairs: bool, n: int = N, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, seed: int = SEED, block: int = BLOCK) -> DataFrame:
+def joined(docs: DataFrame, pairs: bool, n: int = N, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, seed: int = SEED, block: int = BLOCK, few: int = FEW) -> DataFrame:
     """Similar pairs (a < b, jaccard), equal sets as stars; with ``pairs`` false, edges that connect what is similar."""
     x = depth(threshold, trees, recall)
     all_ = cut(sketches(docs, n, trees, x, seed))
-    sets = cut(all_.groupBy("d1", "d2", "n").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("deep").alias("deep"), F.first("sig").alias("sig")))
+    sets = cut(all_.groupBy("d1", "d2", "n").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("sig").alias("sig")))
     firsts = sets.select(F.col("d1").alias("__d1"), F.col("d2").alias("__d2"), F.col("n").alias("__n"), F.col("id").alias("a"))
     stars = all_.select("id", "d1", "d2", "n").join(firsts, (F.col("d1") == F.col("__d1")) & (F.col("d2") == F.col("__d2")) & (F.col("n") == F.col("__n"))).where("id != a")
     stars = stars.select("a", F.col("id").alias("b"), F.lit(1.0).alias("jaccard")).distinct()
     margin = 3 * math.sqrt(threshold * (1 - threshold) / (trees * DEEPEST))
-    members = cut(components(links(sets, threshold - margin)))
+    members = cut(components(links(sets, threshold - margin, few, 4 * block)))
     found = verified(docs, members, n, threshold, pairs, block)
     return found.union(stars).groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
 

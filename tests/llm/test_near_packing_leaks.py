@@ -1,5 +1,7 @@
 import collections
+import random
 
+import numpy as np
 import pytest
 
 from tests.llm import brute
@@ -101,3 +103,38 @@ def test_packing_by_a_length_column_over_several_packers(spark, docs, texts):
     rows = packing.pack(docs, 64, docs_per_packer=10, units="n_chars").collect()
     assert sum(r["units"] for r in rows) == sum(len(t or "") for _, t in texts)
     assert len({r["packer"] for r in rows}) > 1
+
+
+def test_near_recall_on_documents_that_share_a_passage(spark):
+    """Blocks form from the passage, and true partners stand anywhere in them."""
+    rng = random.Random(11)
+    some = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passage, rows, want = some(68), [], set()
+    for k in range(1000):
+        common = passage + some(66)
+        rows += [(2 * k, " ".join(common + some(64))), (2 * k + 1, " ".join(common + some(64)))]
+        want.add((2 * k, 2 * k + 1))
+    sets = [set(brute.grams(t, near.N)) for _, t in rows]
+    assert all(len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= near.THRESHOLD for a, b in want)
+    got = {(r[0], r[1]) for r in near.near_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want)
+
+
+def test_near_cells_agree_with_listed_pairs(spark, docs):
+    listed = sorted(map(tuple, near.near_pairs(docs, few=10**6).collect()))
+    assert sorted(map(tuple, near.near_pairs(docs, few=1, block=1).collect())) == listed
+
+
+def test_all_pairs_of_a_prefix_block_are_linked(spark):
+    """Partners are neither neighbours nor heads, by id or below the prefix, of one block of 90 documents and one of 9."""
+    rng = np.random.default_rng(5)
+    rows, want = [], set()
+    for key, first, size in ((1, 0, 90), (2, 100, 9)):
+        sigs = rng.integers(0, 256, (size, 96), np.uint8)
+        for a, b in ((2, 6), (3, size - 2)):
+            sigs[b] = sigs[a]
+            want.add((first + a, first + b))
+        rows += [(first + k, [key], [k], bytes(sig)) for k, sig in enumerate(sigs)]
+    sets = spark.createDataFrame(rows, "id long, keys array<long>, deep array<int>, sig binary")
+    assert {tuple(r) for r in near.links(sets, 0.347).collect()} == want
+    assert {tuple(r) for r in near.links(sets, 0.347, few=2, block=8).collect()} == want
