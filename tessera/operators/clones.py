@@ -1,7 +1,7 @@
 """Clone detection over token streams (file, language, pos, token, line).
 
 Fixed windows of k tokens are grouped by digest: a group-by, never a pairwise join, so a window that thousands of files share costs as many rows.
-Runs of windows that continue in the same set of files are joined into maximal spans by gaps and islands.
+Only ``diagonals``, whose result is pairs, joins occurrences, and only where a run of a pair begins or ends.
 """
 
 from __future__ import annotations
@@ -9,13 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.plans.checkpoints import cut
+
 
 def kgrams(docs: DataFrame, tokens: Column, k: int) -> DataFrame:
-    """(file, language, pos, digest) of each window of k tokens of ``docs`` (file, language); positions from 1."""
+    """(file, language, pos, digest, before, after) of each window of k tokens of ``docs`` (file, language), and the tokens around it; positions from 1."""
     t = docs.select("file", "language", tokens.alias("__t"))
     n = F.size("__t") - (k - 1)
-    windows = F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.struct(i.alias("pos"), F.md5(F.array_join(F.slice("__t", i, k), " ")).alias("digest")))).otherwise(F.array())
-    return t.select("file", "language", F.explode(windows).alias("w")).select("file", "language", F.col("w.pos").cast("long").alias("pos"), F.col("w.digest").alias("digest"))
+    windows = F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.struct(i.alias("pos"), F.md5(F.array_join(F.slice("__t", i, k), " ")).alias("digest"), F.get("__t", i - 2).alias("before"), F.get("__t", i + (k - 1)).alias("after")))).otherwise(F.array())
+    return t.select("file", "language", F.explode(windows).alias("w")).select("file", "language", F.col("w.pos").cast("long").alias("pos"), F.col("w.digest").alias("digest"), "w.before", "w.after")
 
 
 def repeated(grams: DataFrame) -> DataFrame:
@@ -45,16 +47,26 @@ def union_mass(ranges: DataFrame, by: str, start: str, end: str) -> DataFrame:
 
 
 def diagonals(grams: DataFrame, k: int) -> DataFrame:
-    """Maximal runs of equal tokens between each repeated window and the first place it occurs at.
+    """Maximal runs of at least k equal tokens between any two places, as (language, left_file, right_file, shift, left_start, right_start, tokens).
 
-    Each occurrence is linked to its digest's first occurrence only; runs along one diagonal of a file pair are islands of consecutive positions. Within
-    one file a run is cut to the distance of its two ends, so that they do not overlap; shorter than k it is dropped.
+    All pairs of occurrences count, left before right by (file, pos). A pair of equal windows begins a run if the tokens before them differ, or one
+    has none, and ends it if those after them do; windows with the same tokens around all their occurrences are not joined. Within one file a run
+    is cut to the distance of its two ends, so that they do not overlap; shorter than k it is dropped.
     """
-    first = grams.groupBy("language", "digest").agg(F.min(F.struct("file", "pos")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    j = grams.join(first, ["language", "digest"]).where((F.col("file") != F.col("f.file")) | (F.col("pos") != F.col("f.pos")))
-    j = j.select("language", F.col("f.file").alias("left_file"), F.col("file").alias("right_file"), F.col("f.pos").alias("a"), F.col("pos").alias("b"))
-    w = Window.partitionBy("language", "left_file", "right_file", F.col("b") - F.col("a")).orderBy("a")
-    runs = j.withColumn("__island", F.col("a") - F.row_number().over(w)).groupBy("language", "left_file", "right_file", (F.col("b") - F.col("a")).alias("shift"), "__island")
-    out = runs.agg(F.min("a").alias("left_start"), F.min("b").alias("right_start"), (F.count(F.lit(1)) + k - 1).alias("tokens"))
+    differ = lambda c: (F.min(c) != F.max(c)) | (F.count(c) < F.count(F.lit(1)))
+    edges = grams.groupBy("language", "digest").agg(F.count(F.lit(1)).alias("n"), *(F.coalesce(differ(c), F.lit(True)).alias(f"__{c}") for c in ("before", "after")))
+    g = cut(grams.join(edges.where("n > 1 and (__before or __after)"), ["language", "digest"]))
+
+    def ends(side: str) -> DataFrame:
+        some = g.where(f"__{side}").select("language", "digest", "file", "pos", F.col(side).alias("t"))
+        x, y = some.alias("x"), some.alias("y")
+        earlier = F.struct("x.file", "x.pos") < F.struct("y.file", "y.pos")
+        j = x.join(y, (F.col("x.language") == F.col("y.language")) & (F.col("x.digest") == F.col("y.digest")) & earlier & F.coalesce(F.col("x.t") != F.col("y.t"), F.lit(True)))
+        return j.select("x.language", F.col("x.file").alias("left_file"), F.col("y.file").alias("right_file"), (F.col("y.pos") - F.col("x.pos")).alias("shift"), F.col("x.pos").alias("left_start"), F.lit(side).alias("side"))
+
+    both = ends("before").union(ends("after"))
+    w = Window.partitionBy("language", "left_file", "right_file", "shift").orderBy("left_start", F.col("side").desc())
+    runs = both.withColumn("__last", F.lead("left_start").over(w)).where("side = 'before'")
+    runs = runs.select("language", "left_file", "right_file", "shift", "left_start", (F.col("left_start") + F.col("shift")).alias("right_start"), (F.col("__last") - F.col("left_start") + k).alias("tokens"))
     same = F.col("left_file") == F.col("right_file")
-    return out.withColumn("tokens", F.when(same, F.least("tokens", F.abs("shift"))).otherwise(F.col("tokens"))).where(F.col("tokens") >= k).drop("__island")
+    return runs.withColumn("tokens", F.when(same, F.least("tokens", "shift")).otherwise(F.col("tokens"))).where(F.col("tokens") >= k)

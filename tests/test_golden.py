@@ -1,5 +1,7 @@
 """Small inputs with results worked out by hand."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,6 +80,29 @@ def test_clone_runs_are_maximal(spark):
     assert [(r.left_file, r.right_file, r.left_start, r.right_start, r.tokens) for r in runs] == [("a", "b", 1, 2, 30)]
 
 
+def test_clone_runs_between_any_two_files(spark):
+    x, y = ([f"{c}{k}" for k in range(20)] for c in "xy")
+    rng = random.Random(4)
+    texts = {"a": x, "b": y, "c": x + y, "d": x + y, "e": y + y[:15] + x[3:], "f": ["p"] * 9, "g": ["p"] * 7}
+    texts |= {f"r{k}": [rng.choice("uv") for _ in range(30)] for k in range(4)}
+    want, k = set(), 5
+    for f, s in texts.items():
+        for h, t in texts.items():
+            for i in range(len(s)):
+                for j in range(len(t)):
+                    if (f, i) < (h, j) and s[i] == t[j] and (not i or not j or s[i - 1] != t[j - 1]):
+                        n = 0
+                        while i + n < len(s) and j + n < len(t) and s[i + n] == t[j + n]:
+                            n += 1
+                        n = min(n, j - i) if f == h else n
+                        if n >= k:
+                            want.add((f, h, i + 1, j + 1, n))
+    docs = spark.createDataFrame([(f, "x", " ".join(t)) for f, t in texts.items()], "file string, language string, text string")
+    runs = clones.diagonals(clones.kgrams(docs, F.split("text", " "), k), k).collect()
+    got = [(r.left_file, r.right_file, r.left_start, r.right_start, r.tokens) for r in runs]
+    assert ("c", "d", 1, 1, 40) in got and len(got) == len(set(got)) and set(got) == want
+
+
 def test_stems_match_in_the_directory_first(spark):
     src = spark.createDataFrame([("d/x.py", "d", "x"), ("e/x.py", "e", "x"), ("e/y.py", "e", "y")], "path string, directory string, stem string")
     tst = spark.createDataFrame([("d/test_x.py", "d", "x"), ("f/test_x.py", "f", "x"), ("f/test_y.py", "f", "y")], "path string, directory string, stem string")
