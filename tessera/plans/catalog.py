@@ -530,7 +530,7 @@ def joint_information(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def greedy_plan(spark: SparkSession, d: str) -> DataFrame:
     """The plan for the claims and probes of the test tables within 4 dollars, 60 seconds and 6 probes."""
-    c, p = ([r.asDict() for r in x(spark, d).orderBy("id").collect()] for x in (b.claims, b.probes))
+    c, p = ([r.asDict() for r in x.orderBy("id").collect()] for x in (b.claims(spark, d), b.probes(spark, d, 10)))
     steps, why = planner.greedy_plan(c, p, planner.Budget(4.0, 60.0, 6), "information_per_usd")
     schema = "ordinal int, probe_id string, claim_id string, marginal_information_bits double, marginal_risk_reduction double, cumulative_information_bits double, cumulative_expected_risk_reduction double, cumulative_usd double, cumulative_seconds double, candidate_frontier array<string>, stopped_reason string"
     return spark.createDataFrame([(*s.values(), why) for s in steps], schema)

@@ -140,9 +140,9 @@ def claims(spark: SparkSession, d: str) -> DataFrame:
     return j.groupBy(F.col("lang").alias("id")).agg(F.avg(F.col("toxic").cast("double")).alias("prior_probability")).withColumns({"false_positive_loss": F.lit(1.0), "false_negative_loss": (F.ascii("id") % 7 + 1).cast("double"), "importance": (F.ascii("id") % 3 + 1).cast("double")})
 
 
-def probes(spark: SparkSession, d: str) -> DataFrame:
-    """A probe for each language and last digit of the source: how often quality goes with the label, smoothed."""
-    j = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang", "source"), "doc_id").withColumn("digit", F.substring("source", -1, 1).cast("int")).where("digit < 5")
+def probes(spark: SparkSession, d: str, below: int = 5) -> DataFrame:
+    """A probe for each language and last digit of the source under ``below``: how often quality goes with the label, smoothed."""
+    j = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang", "source"), "doc_id").withColumn("digit", F.substring("source", -1, 1).cast("int")).where(F.col("digit") < below)
     hit = lambda t, q: F.sum(F.when((F.col("toxic") == t) & (F.col("quality") == q), 1.0).otherwise(0.0))
     g = j.groupBy("lang", "digit").agg(((hit(1, 1) + 1) / (hit(1, 1) + hit(1, 0) + 2)).alias("sensitivity"), ((hit(0, 0) + 1) / (hit(0, 0) + hit(0, 1) + 2)).alias("specificity"))
     digit = F.col("digit").cast("double")

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import paths, scalars
 from tessera.operators import clones, dist, graph, planner, receipts, resolve, shape, topology
+from tessera.plans import catalog
+from tessera.sources import bindings
+from tests.oracle import DATA
 
 
 def test_static_shape(spark):
@@ -59,6 +62,15 @@ def test_probes(spark):
         planner.probe_metrics(claims.where("id = 'x'"), probes).collect()
 
 
+def test_greedy_plan_has_a_probe_for_every_source(spark):
+    labelled = spark.read.parquet(f"{DATA}/labels.parquet").join(spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "lang", "source"), "doc_id")
+    want = {f"{r.lang}-{r.source[-1]}" for r in labelled.select("lang", "source").distinct().collect()}
+    steps = catalog.QUERIES["greedy_plan"](spark, DATA).orderBy("ordinal").collect()
+    assert {x for s in steps for x in s.candidate_frontier} <= want
+    assert {r.id for r in bindings.probes(spark, DATA, 10).collect()} == want
+    assert any(x[-1] in "56789" for s in steps for x in [s.probe_id or "", *s.candidate_frontier])
+
+
 def test_distributions(spark):
     one = dist.entropy(spark.createDataFrame([(7,)], "w long"), "w").first()
     assert 1.0 in one.asDict().values()  # effective count of a single weight
