@@ -1,7 +1,7 @@
 """Dependency graphs: nodes, degrees, reachability, cycles, components and depth.
 
-Loops grow a relation semi-naively, each round only from what the last one added, and cut their lineage in the shared folder. Reachability is
-admitted only below stated bounds on nodes and work, as its result can be the square of the graph.
+Loops grow a relation semi-naively, each round only from what the last one added, and cut their lineage in the shared folder. ``admission`` gives
+bounds on nodes and work for reachability, whose result can be the square of the graph; no query calls it yet.
 """
 
 from __future__ import annotations
