@@ -1,20 +1,22 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Words map to the classes insult, threat, target, negation, reporting verb, function word and other. Five small transducers read the same
-class string and weight its arcs: insult and threat carry the lexical weight; target strengthens an insult beside a person addressed and turns a
-threat verb into a threat; negation weakens what follows it within function words; reported speech weakens what follows a reporting verb. They are
-composed into one transducer, and a clause scores the sum of the weights along its path. Only clauses that hold an insult or threat word are walked, as
-all others score 0. A document's score is that of its worst clause; it is toxic from :data:`THRESHOLD` on.
+Words map to classes: insult, threat verb, persons (the speaker, the one addressed, others), modal, negation, reporting verb, function word, comma and other.
+Five small transducers read the same class string and weight its arcs. Insult carries the lexical weight. Threat needs someone who means it (a
+speaker, or another person with a modal, or a verb form that says both), a threat verb and a person it is aimed at, in either order of the last two; an
+imperative needs the one addressed. Target strengthens an insult beside a person. Negation and reported speech weaken what follows them, and keep a threat or
+insult weakened until its target is met. They are composed into one transducer, and a clause scores the sum of the weights along its path. Only clauses that
+hold an insult or threat word are walked, as all others score 0. A document's score is that of its worst clause; it is toxic from :data:`THRESHOLD` on.
 
 Base word lists are fixed; further stems come from at most ``per_class`` labelled documents of each class: word beginnings that explain
 toxic documents the lists leave unexplained and that clean ones lack, taken greedily, weighted by their log odds.
 
 Defined cases: null or empty text scores 0; without labels only the base lists count; a clause ends at . ! ? ; : and line ends, at any length;
-case is ignored; null ids and repeated rows give a row each; an empty table gives none; other columns are not read.
+case is ignored, and a curly apostrophe is a straight one; null ids and repeated rows give a row each; an empty table gives none; other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -37,74 +39,115 @@ INSULT = """idiot idiots idiotic stupid moron morons moronic imbecile imbeciles
 dumbass asshole bastard bitch degenerate vermin filth idiota idiotas estúpido estúpida imbécil imbéciles basura asqueroso asquerosa patético patética
 payaso escoria inútil idiote idiotes crétin crétins imbécile abruti abrutis ordure minable dégoûtant salaud connard stupide idioten dumm dummkopf
 trottel abschaum widerlich erbärmlich wertlos arschloch dreckskerl mistkerl""".split()
-THREAT = "kill hurt destroy shoot stab strangle matar mataré mato golpear tuer tuerai frapper töten umbringen erschlagen".split()
-TARGET = "you your yourself yours he she they him her them these those people tú te ti usted ustedes vosotros tu toi vous ils elles du dich dir ihr euch sie".split()
-NEGATION = "not never no isn't aren't wasn't don't doesn't nobody nunca jamás ni ne pas jamais nicht nie kein keine keinen niemals".split()
+THREAT = "kill murder hurt destroy shoot stab strangle beat matar golpear tuer frapper töten umbringen erschlagen erschießen".split()
+#: Verb forms of the first person that tell an intent, some with their object.
+INTEND = "mataré mataremos golpearé tuerai tuerons frapperai".split()
+SPEAKER = "i we yo nosotros nosotras voy vamos je nous ich wir werde".split()
+ADDRESSED = "you your yours tú tu usted ustedes vosotros vous du ihr".split()
+OBJECT = "yourself yourselves te ti toi dich dir euch".split()
+OTHERS = "he she they him her them these those people él ella ellos ellas il ils elle elles er sie".split()
+THINGS = "people these those".split()  # persons to insult, but no aim of a threat
+MODAL = "will shall gonna going wanna must should 'll vais vas va va werden wird soll sollte muss".split()
+NEGATION = "not never nobody nunca jamás ni ne pas jamais nicht nie kein keine keinen niemals".split()
+NO = "no non nein".split()
 REPORT = "said says wrote writes claimed claims quoted reported called calls dijo dice escribió llamó dit écrit déclara appela sagte sagt schrieb nannte".split()
-FUNCTION = "a an the is are was were be been so very really such that an any un una el la los las es son muy tan une le les des est sont très si ein eine einen der die das ist sind sehr so".split()
-OTHER, INS, THR, TGT, NEG, REP, FUN = range(7)
-SYMBOLS = {**dict.fromkeys(FUNCTION, FUN), **dict.fromkeys(REPORT, REP), **dict.fromkeys(NEGATION, NEG), **dict.fromkeys(TARGET, TGT), **dict.fromkeys(THREAT, THR), **dict.fromkeys(INSULT, INS)}
-TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
+FUNCTION = "a an the is are was were be been so very really such that and to am do did does would have has had any un una el la los las es son muy tan eres une le les des est es sont très si a à ein eine einen der die das ist bist sind sehr so und zu".split()
+OTHER, INS, THR, INT, SPK, YOU, OBJ, THEM, THINGY, MOD, NEG, NOT, REP, FUN, COM = range(15)
+PERSONS = (YOU, OBJ, THEM, THINGY)
+SYMBOLS = {
+    **dict.fromkeys(FUNCTION, FUN), **dict.fromkeys(REPORT, REP), **dict.fromkeys(NEGATION, NEG), **dict.fromkeys(NO, NOT), **dict.fromkeys(MODAL, MOD), **dict.fromkeys(OTHERS, THEM), **dict.fromkeys(THINGS, THINGY),
+    **dict.fromkeys(OBJECT, OBJ), **dict.fromkeys(ADDRESSED, YOU), **dict.fromkeys(SPEAKER, SPK), **dict.fromkeys(INTEND, INT), **dict.fromkeys(THREAT, THR), **dict.fromkeys(INSULT, INS), ",": COM,
+}
+TOKEN = re.compile(r"[^\W\d_]+n't|[^\W\d_]+|'ll\b|,")
 STOP = re.compile(r"[.!?;:\n]")
 
 
-# Each transducer: start state, and (state, symbol) -> (state, factor on the lexical weight, weight of its own).
+# Each transducer: (state, symbol) -> (state, factor on the lexical weight, weight of its own, factor on all weights of their own).
 def insult_fst(state: int, symbol: int):
-    return 0, 1.0 if symbol == INS else 0.0, 0.0
+    return 0, 1.0 if symbol == INS else 0.0, 0.0, 1.0
+
+
+#: States of the threat transducer. START counts as a person: a verb there is an imperative. AIM: an object was named ahead. MEANT, and MEANING with one other word since:
+#: someone means it. MEANT_AIM: and its object was named. DONE, DOING: the verb was said, the object is awaited for two other words. ORDER: an imperative.
+START, NONE, PERSON, AIM, MEANT, MEANING, MEANT_AIM, DONE, DOING, ORDER = range(10)
 
 
 def threat_fst(state: int, symbol: int):
-    """A threat verb weighs nothing until a target follows within two words."""
-    if symbol == THR:
-        return 2, 1.0, 0.0
-    if symbol == TGT and state:
-        return 0, 1.0, 2.0
-    return max(0, state - 1) if symbol != FUN else state, 1.0, 0.0
+    own = 0.0
+    if symbol == INT:  # mataré, te mataré
+        own, state = (2.0, NONE) if state in (AIM, MEANT_AIM) else (0.0, DONE)
+    elif symbol == THR:
+        if state == MEANT_AIM:
+            own, state = 2.0, NONE
+        else:
+            state = DONE if state in (MEANT, MEANING) else ORDER if state == START else NONE
+    elif symbol in PERSONS and state in (DONE, DOING) and symbol != THINGY or symbol in (YOU, OBJ) and state == ORDER:
+        own, state = 2.0, NONE
+    elif symbol == SPK:
+        state = MEANT_AIM if state == AIM else MEANT
+    elif symbol == MOD:
+        state = MEANT if state in (START, PERSON) else state
+    elif symbol in PERSONS:
+        meant = state in (MEANT, MEANING, MEANT_AIM)
+        state = MEANT_AIM if meant and symbol != THINGY else AIM if symbol == OBJ else PERSON
+    elif symbol in (OTHER, INS):
+        state = {MEANT: MEANING, DONE: DOING, MEANT_AIM: MEANT_AIM}.get(state, NONE)
+    return state, 1.0, own, 1.0
 
 
 def target_fst(state: int, symbol: int):
-    """State 1: a person was addressed, which strengthens an insult; state 2: an insult waits for one."""
-    if symbol == TGT:
-        return 1, 1.0, 0.5 if state == 2 else 0.0
+    """State 1: a person was named, which strengthens an insult; state 2: an insult waits for one."""
+    if symbol in PERSONS:
+        return 1, 1.0, 0.5 if state == 2 else 0.0, 1.0
     if symbol == INS:
-        return (1, 1.5, 0.0) if state == 1 else (2, 1.0, 0.0)
-    return state, 1.0, 0.0
+        return (1, 1.5, 0.0, 1.0) if state == 1 else (2, 1.0, 0.0, 1.0)
+    return state, 1.0, 0.0, 1.0
 
 
 def negation_fst(state: int, symbol: int):
-    """State 1 holds from a negation on over function words and the first word negated."""
-    if symbol == NEG:
-        return 1, 1.0, 0.0
-    if symbol in (INS, THR) and state:
-        return 0, 0.2, 0.0
-    return (state if symbol in (FUN, TGT) else 0), 1.0, 0.0
+    """State 1 holds from a negation on, over function words and persons, to the first word negated; 2: that was an insult or threat, whose target is awaited;
+    3: as 1, after a word that is also an answer, which one addressed takes back. A comma ends it."""
+    if symbol in (NEG, NOT):
+        return (1 if symbol == NEG or state == 1 else 3), 1.0, 0.0, 0.2 if state == 2 else 1.0
+    if symbol == INS:
+        return (2, 0.2, 0.0, 1.0) if state in (1, 3) else (0, 1.0, 0.0, 1.0)
+    if symbol in (THR, INT):
+        return 2 if state else 0, 1.0, 0.0, 0.2 if state else 1.0
+    if symbol in PERSONS:
+        return {1: 1, 3: 0 if symbol == YOU else 1}.get(state, 0), 1.0, 0.0, 0.2 if state == 2 else 1.0
+    if symbol == COM or symbol == OTHER and state in (1, 3):
+        return 0, 1.0, 0.0, 1.0
+    return state, 1.0, 0.0, 1.0
 
 
 def report_fst(state: int, symbol: int):
     """State 1: within what a reporting verb relates."""
     if symbol == REP:
-        return 1, 1.0, 0.0
-    return state, 0.4 if state and symbol in (INS, THR) else 1.0, 0.0
+        return 1, 1.0, 0.0, 1.0
+    return state, 0.4 if state else 1.0, 0.0, 0.4 if state else 1.0
 
 
-PARTS = ((insult_fst, 1), (threat_fst, 3), (target_fst, 3), (negation_fst, 2), (report_fst, 2))
+PARTS = ((insult_fst, 1), (threat_fst, 10), (target_fst, 3), (negation_fst, 4), (report_fst, 2))
 
 
 def compose() -> tuple[list[list[int]], list[list[float]], list[list[float]]]:
     """Composition of :data:`PARTS`: next state, factor and own weight by state and symbol. States multiply, and so do factors; weights add up."""
     states = list(product(*(range(n) for _, n in PARTS)))
     number = {s: i for i, s in enumerate(states)}
-    go, factor, own = ([[0] * 7 for _ in states] for _ in range(3))
+    go, factor, own = ([[0] * 15 for _ in states] for _ in range(3))
     for i, s in enumerate(states):
-        for symbol in range(7):
+        for symbol in range(15):
             steps = [f(q, symbol) for (f, _), q in zip(PARTS, s)]
-            damp = float(np.prod([t[1] for t in steps[3:]]))
             go[i][symbol] = number[tuple(t[0] for t in steps)]
-            factor[i][symbol] = float(np.prod([t[1] for t in steps]))
-            own[i][symbol] = sum(t[2] for t in steps) * damp
+            factor[i][symbol] = math.prod(t[1] for t in steps)
+            own[i][symbol] = sum(t[2] for t in steps) * math.prod(t[3] for t in steps)
     return go, factor, own
 
 
+def symbol_of(word: str) -> int:
+    return NEG if word.endswith("n't") else SYMBOLS.get(word, OTHER)
+
+
 GO, FACTOR, OWN = compose()
 
 
@@ -114,7 +157,7 @@ class Grammar:
     def __init__(self, stems: dict[str, float] | None = None):
         self.stems = dict(stems or {})
         self.finder = ahocorasick.Automaton()
-        for w in INSULT + THREAT:
+        for w in INSULT + THREAT + INTEND:
             self.finder.add_word(w, (len(w), True))
         for w in self.stems:
             if w not in SYMBOLS:
@@ -130,7 +173,7 @@ class Grammar:
     def clause(self, text: str) -> float:
         state, score = 0, 0.0
         for word in TOKEN.findall(text):
-            symbol, lexical = SYMBOLS.get(word, OTHER), 0.0
+            symbol, lexical = symbol_of(word), 0.0
             if symbol in (OTHER, INS):
                 lexical = self.weight(word)
                 symbol = INS if lexical else symbol
@@ -140,7 +183,7 @@ class Grammar:
 
     def document(self, text: str) -> tuple[float, int]:
         """Worst clause score, and the number of clauses that score at all."""
-        text, worst, count, done = text.lower(), 0.0, 0, -1
+        text, worst, count, done = text.lower().replace("’", "'"), 0.0, 0, -1
         for last, (size, whole) in self.finder.iter(text):
             first = last - size + 1
             if first < done or first and text[first - 1].isalpha() or whole and last + 1 < len(text) and text[last + 1].isalpha():
