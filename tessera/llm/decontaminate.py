@@ -1,12 +1,13 @@
 """Benchmark decontamination by a prefix-filtered set join.
 
-Items and documents are sets of word n-grams (case ignored). Over all documents the frequency of every item n-gram is counted, and each item's
-n-grams are ordered from the rarest. A window that contains a share ``theta`` of an item's n-grams must hold one of its first
-``size - ceil(theta * size) + 1``: only these prefixes are joined with the documents. Candidates pass a length bound (the document has enough n-grams)
-and a positional bound (the first prefix token met leaves enough tokens after it); then every window of the item's length is checked exactly.
+Items and documents are sets of word n-grams (case ignored). A first pass counts how often each item n-gram occurs in the documents, and each item's
+n-grams are ordered from the rarest. A window that contains ``need = ceil(theta * size)`` of an item's n-grams holds at least ``least`` of its first
+``size - need + least`` (``least`` is ``LEAST``, or ``need`` if that is smaller). Only occurrences of these prefixes are gathered by a second pass and joined with the items.
+A pair goes on if it passes the length bound (the document has ``need`` n-grams) and the positional bound (``least`` occurrences of prefix tokens lie
+within the length of the item). A third pass over the documents left gathers all their item n-grams, and every window of the item's length is checked exactly.
 
-The text is read once. Occurrences of item n-grams are few; they are what is shuffled. The item n-grams go to the executors as a
-sorted array up to ``broadcast_rows`` of them, and beyond that all n-grams are joined by a shuffle, with equal results.
+What is shuffled is counts, then occurrences of prefix tokens, then those of all item n-grams in the documents left. The item n-grams go to the executors
+as a sorted array up to ``broadcast_rows`` of them, and beyond that all n-grams are joined by a shuffle, with equal results.
 
 Defined cases: null or empty texts match nothing; items without an id are left out; an item of fewer than n words matches only a document of just
 these words; items that repeat an id with other texts are matched each, the best window counts; documents that repeat an id likewise;
@@ -25,7 +26,7 @@ from tessera.llm import textkit as tk
 from tessera.llm.tables import BROADCAST_ROWS, small, table
 from tessera.plans.checkpoints import cut
 
-N, THETA = 3, 0.6
+N, THETA, LEAST = 3, 0.6, 3
 HITS = "doc_id long, sig long, doc_size int, pos int, h long"
 
 
@@ -44,23 +45,38 @@ def positions(data: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, n
     return g, owner, pos
 
 
+class Wanted:
+    """Membership in a sorted array of hashes."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.bits = keys, np.zeros(1 << 22, bool)
+        self.bits[(keys >> np.uint64(42)).astype(np.int64)] = True
+
+    def among(self, g: np.ndarray) -> np.ndarray:
+        near = np.flatnonzero(self.bits[(g >> np.uint64(42)).astype(np.int64)])
+        if not len(near) or not len(self.keys):
+            return near[:0]
+        at = np.minimum(np.searchsorted(self.keys, g[near]), len(self.keys) - 1)
+        return near[self.keys[at] == g[near]]
+
+
+def listed(keys: DataFrame) -> np.ndarray:
+    return np.sort(np.array(keys.select("h").distinct().toArrow().column(0).to_numpy(), np.int64).view(np.uint64))
+
+
 def occurrences(docs: DataFrame, n: int, wanted: np.ndarray | None) -> DataFrame:
     """(doc_id, sig, doc_size, pos, h) of the n-grams in ``wanted`` (sorted), or of all."""
     held = None if wanted is None else docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches):
-        keys = held.value if held else None
-        if keys is not None:
-            bits = np.zeros(1 << 22, bool)
-            bits[(keys >> np.uint64(42)).astype(np.int64)] = True
+        keys = Wanted(held.value) if held else None
         for batch in batches:
             ids, sigs = batch.column(0).cast(pa.int64()), batch.column(1)
             for lo, hi, data, offs in tk.slices(batch.column(2)):
                 g, owner, pos = positions(data, offs, n)
                 sizes = np.bincount(owner, minlength=hi - lo)
                 if keys is not None:
-                    near = np.flatnonzero(bits[(g >> np.uint64(42)).astype(np.int64)])
-                    near = near[np.isin(g[near], keys)] if len(near) else near
+                    near = keys.among(g)
                     g, owner, pos = g[near], owner[near], pos[near]
                 rows = pa.array(owner + lo)
                 yield pa.RecordBatch.from_arrays([ids.take(rows), sigs.take(rows), pa.array(sizes[owner].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(g.view(np.int64))], names=["doc_id", "sig", "doc_size", "pos", "h"])
@@ -69,47 +85,91 @@ def occurrences(docs: DataFrame, n: int, wanted: np.ndarray | None) -> DataFrame
     return docs.select("doc_id", F.xxhash64("text").alias("sig"), text.alias("text")).mapInArrow(run, HITS)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, theta: float = THETA, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """doc_id, sig (xxhash64 of the text), item_id, containment, matched, item_size, window_start (in words) of every contaminated pair."""
+def rarity(docs: DataFrame, n: int, wanted: np.ndarray | None) -> DataFrame:
+    """(h, df): how often each n-gram in ``wanted`` (sorted), or each at all, occurs in the documents."""
+    held = None if wanted is None else docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches):
+        keys, total = (Wanted(held.value), np.zeros(len(held.value), np.int64)) if held else (None, None)
+        for batch in batches:
+            for _, _, data, offs in tk.slices(batch.column(0)):
+                g, _, _ = positions(data, offs, n)
+                if keys is not None:
+                    total += np.bincount(np.searchsorted(keys.keys, g[keys.among(g)]), minlength=len(total))
+                else:
+                    u, c = np.unique(g, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c)], names=["h", "n"])
+        if keys is not None:
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.keys[some].view(np.int64)), pa.array(total[some])], names=["h", "n"])
+
+    return docs.select(F.lower(F.coalesce("text", F.lit(""))).alias("text")).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("df"))
+
+
+def ordered_items(docs: DataFrame, benchmark: DataFrame, n: int, theta: float, broadcast_rows: int) -> DataFrame:
+    """item_id, item_sig, h, rank (by rarity), size, need, least and span (in n-grams) of all items."""
     bench = benchmark.where("item_id is not null").select(F.col("item_id").alias("doc_id"), "text")
     items = cut(occurrences(bench, n, None).select(F.col("doc_id").alias("item_id"), F.col("sig").alias("item_sig"), F.col("doc_size").alias("span"), "h").distinct())
-    keys = items.select("h").distinct()
-    wanted = None
-    if (count := keys.count()) <= broadcast_rows:
-        wanted = np.sort(np.array(keys.toArrow().column(0).to_numpy(), np.int64).view(np.uint64))
-    hits = occurrences(docs, n, wanted)
-    if wanted is None:
-        hits = hits.join(keys, "h", "left_semi").select("doc_id", "sig", "doc_size", "pos", "h")
-    hits = cut(hits.distinct())
-    rarity = hits.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    count = items.select("h").distinct().count()
+    seen = rarity(docs, n, listed(items) if count <= broadcast_rows else None)
     item = Window.partitionBy("item_id", "item_sig")
-    ordered = items.join(small(rarity, count), "h", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    ordered = items.join(small(seen, count), "h", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     ordered = ordered.withColumn("size", F.count(F.lit(1)).over(item).cast("int")).withColumn("rank", F.row_number().over(item.orderBy("df", "h")))
-    need = F.ceil(F.round(F.lit(theta) * F.col("size"), 9)).cast("int")
-    ordered = cut(ordered.withColumn("need", F.greatest(need, F.lit(1))))
+    need = F.greatest(F.ceil(F.round(F.lit(theta) * F.col("size"), 9)).cast("int"), F.lit(1))
+    return cut(ordered.withColumn("need", need).withColumn("least", F.least(need, F.lit(LEAST))))
+
+
+def candidates(docs: DataFrame, ordered: DataFrame, n: int, broadcast_rows: int) -> DataFrame:
+    """doc_id, sig, item_id, item_sig of every pair that shares a prefix token, and whether it passes the length bound (long) and the positional bound (close)."""
+    prefix = cut(ordered.where(F.col("rank") <= F.col("size") - F.col("need") + F.col("least")).select("item_id", "item_sig", "h", "span", "need", "least"))
+    rows = prefix.count()
+    hits = occurrences(docs, n, listed(prefix) if rows <= broadcast_rows else None)
+    pair = ["doc_id", "sig", "item_id", "item_sig"]
+    met = hits.join(small(prefix, rows), "h").select(*pair, "pos", "h", "doc_size", "span", "need", "least").distinct()
+    along = Window.partitionBy(*pair).orderBy("pos")
+    back = F.when(F.col("least") == 1, F.col("pos"))
+    for k in range(2, LEAST + 1):
+        back = back.when(F.col("least") == k, F.lag("pos", k - 1).over(along))
+    near = F.coalesce(F.col("pos") - back < F.col("span"), F.lit(False))
+    return met.withColumn("near", near).groupBy(*pair).agg((F.first("doc_size") >= F.first("need")).alias("long"), F.max("near").alias("close"))
+
+
+def best_window(pos: np.ndarray, h: np.ndarray, span: int) -> tuple[int, int]:
+    """Most distinct hashes within ``span`` positions, and the first position of the first such window; ``pos`` is sorted."""
+    lo = np.searchsorted(pos, pos - span + 1)
+    if len(np.unique(h)) == len(h):
+        count = np.arange(len(pos)) - lo + 1
+        k = int(np.argmax(count))
+        return int(count[k]), int(pos[lo[k]])
+    held: dict[int, int] = {}
+    best, where, begin = 0, 0, 0
+    for k, x in enumerate(h.tolist()):
+        held[x] = held.get(x, 0) + 1
+        while begin < lo[k]:
+            y = int(h[begin])
+            held[y] -= 1
+            if not held[y]:
+                del held[y]
+            begin += 1
+        if len(held) > best:
+            best, where = len(held), int(pos[begin])
+    return best, where
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, theta: float = THETA, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """doc_id, sig (xxhash64 of the text), item_id, containment, matched, item_size, window_start (in words) of every contaminated pair."""
+    ordered = ordered_items(docs, benchmark, n, theta, broadcast_rows)
     total = ordered.count()
-    prefix = ordered.where(F.col("rank") <= F.col("size") - F.col("need") + 1).select("item_id", "item_sig", "h", "rank", "size", "need")
-    pairs = hits.join(small(prefix, total), "h").groupBy("doc_id", "sig", "item_id", "item_sig").agg(F.min("rank").alias("rank"), F.first("size").alias("size"), F.first("need").alias("need"), F.first("doc_size").alias("doc_size"))
-    pairs = pairs.where((F.col("doc_size") >= F.col("need")) & (F.col("size") - F.col("rank") + 1 >= F.col("need")))
-    pairs = pairs.select(F.col("doc_id").alias("__d"), F.col("sig").alias("__s"), F.col("item_id").alias("__i"), F.col("item_sig").alias("__t"))
-    every = hits.join(small(ordered.select("item_id", "item_sig", "h", "span", "size", "need"), total), "h")
-    every = every.join(pairs, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("sig") == F.col("__s")) & (F.col("item_id") == F.col("__i")) & (F.col("item_sig") == F.col("__t")), "left_semi")
+    pairs = cut(candidates(docs, ordered, n, broadcast_rows).where("long and close").select(F.col("doc_id").alias("__d"), F.col("sig").alias("__s"), F.col("item_id").alias("__i"), F.col("item_sig").alias("__t")))
+    some = pairs.select("__d", "__s").distinct()
+    left = docs.select("doc_id", "text").join(small(some, pairs.count()), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__s")), "left_semi")
+    every = occurrences(left, n, listed(ordered) if total <= broadcast_rows else None).distinct().join(small(ordered.select("item_id", "item_sig", "h", "span", "size", "need"), total), "h")
+    every = every.join(small(pairs), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("sig") == F.col("__s")) & (F.col("item_id") == F.col("__i")) & (F.col("item_sig") == F.col("__t")), "left_semi")
 
     def windows(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos", kind="stable")
-        pos, h = pdf["pos"].to_numpy(), pdf["h"].to_numpy()
         span, size, need = (int(pdf[c].iloc[0]) for c in ("span", "size", "need"))
-        held: dict[int, int] = {}
-        best, where, lo = 0, 0, 0
-        for k in range(len(pos)):
-            held[h[k]] = held.get(h[k], 0) + 1
-            while pos[lo] <= pos[k] - span:
-                held[h[lo]] -= 1
-                if not held[h[lo]]:
-                    del held[h[lo]]
-                lo += 1
-            if len(held) > best:
-                best, where = len(held), int(pos[lo])
+        best, where = best_window(pdf["pos"].to_numpy(), pdf["h"].to_numpy(), span)
         if best < need:
             return pd.DataFrame({c: [] for c in ("doc_id", "sig", "item_id", "containment", "matched", "item_size", "window_start")})
         return pd.DataFrame({"doc_id": pd.array([pdf["doc_id"].iloc[0]], dtype="Int64"), "sig": [pdf["sig"].iloc[0]], "item_id": [pdf["item_id"].iloc[0]], "containment": [best / size], "matched": [best], "item_size": [size], "window_start": [where]})
