@@ -1,18 +1,22 @@
 """Dependency graphs: nodes, degrees, reachability, cycles, components and depth.
 
-Loops grow a relation semi-naively, each round only from what the last one added, and cut their lineage in the shared folder. ``admission`` gives
-bounds on nodes and work for reachability, whose result can be the square of the graph; no query calls it yet.
+Loops cut their lineage in the shared folder. Reachability, whose result can be the square of the graph, is computed only if :func:`admission` finds
+nodes and work within bounds; without it transitive degrees are null, and strong components are found by colours instead.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import ratio
 from tessera.plans.checkpoints import cut_balanced
 
+#: Bounds of one machine, and those of a cluster, which the queries use.
 NODE_LIMIT, WORK_LIMIT = 10_000, 100_000_000
+CLUSTER_NODES, CLUSTER_WORK = 10**9, 10**18
 
 
 def grouped_edges(declared: DataFrame) -> DataFrame:
@@ -45,26 +49,29 @@ def adjacency(edges: DataFrame) -> DataFrame:
 
 
 def closure(adj: DataFrame) -> DataFrame:
-    """All (src, dst) with a path of one edge or more."""
-    adj = cut_balanced(adj)
-    seen = fresh = adj
+    """All (src, dst) with a path of one edge or more, by squaring: the rounds are the logarithm of the longest shortest path."""
+    seen = cut_balanced(adj)
+    size = seen.count()
     while True:
-        step = fresh.alias("f").join(adj.alias("e"), F.col("f.dst") == F.col("e.src")).select(F.col("f.src").alias("src"), F.col("e.dst").alias("dst")).distinct()
-        fresh = cut_balanced(step.join(seen, ["src", "dst"], "left_anti"))
-        if fresh.isEmpty():
+        step = seen.alias("f").join(seen.alias("e"), F.col("f.dst") == F.col("e.src")).select(F.col("f.src").alias("src"), F.col("e.dst").alias("dst"))
+        seen = cut_balanced(seen.union(step).distinct())
+        before, size = size, seen.count()
+        if size == before:
             return seen
-        seen = cut_balanced(seen.union(fresh))
 
 
-def admission(files: DataFrame, adj: DataFrame, node_limit: int = NODE_LIMIT, work_limit: int = WORK_LIMIT) -> tuple[str, int, int]:
+def admission(files: DataFrame, adj: DataFrame, node_limit: int = CLUSTER_NODES, work_limit: int = CLUSTER_WORK) -> tuple[str, int, int]:
     """Status (computed, not_applicable, size_limit, work_limit), nodes, and the bound n * (1 + edges) on the work."""
     n, e = files.count(), adj.count()
     work = n * (1 + e)
     return ("not_applicable" if not n else "size_limit" if n > node_limit else "work_limit" if work > work_limit else "computed"), n, work
 
 
-def reachability(files: DataFrame, reach: DataFrame) -> DataFrame:
-    """Transitive in and out degrees of every file, without itself."""
+def reachability(files: DataFrame, reach: DataFrame | None) -> DataFrame:
+    """Transitive in and out degrees of every file, without itself; null if reachability was not admitted."""
+    if reach is None:
+        unknown = F.lit(None).cast("long")
+        return files.select("id", unknown.alias("transitive_in"), unknown.alias("transitive_out"))
     r = reach.where("src != dst")
     out = r.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("o"))
     into = r.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("i"))
@@ -72,13 +79,53 @@ def reachability(files: DataFrame, reach: DataFrame) -> DataFrame:
     return files.join(out, "id", "left").join(into, "id", "left").select("id", F.coalesce("i", zero).alias("transitive_in"), F.coalesce("o", zero).alias("transitive_out"))
 
 
-def strong_components(files: DataFrame, reach: DataFrame) -> DataFrame:
-    """(id, component): the least id of those that reach each other; single files are their own."""
+def strong_components(files: DataFrame, adj: DataFrame, reach: DataFrame | None = None) -> DataFrame:
+    """(id, component): the least id of those that reach each other; single files are their own. By the closure if there is one, else by colours."""
+    if reach is None:
+        return coloured_components(files, adj)
     mutual = reach.alias("a").join(reach.alias("b"), (F.col("a.src") == F.col("b.dst")) & (F.col("a.dst") == F.col("b.src"))).select(F.col("a.src").alias("id"), F.col("a.dst").alias("other"))
     least = mutual.groupBy("id").agg(F.min("other").alias("m"))
     return files.join(least, "id", "left").select("id", F.least("id", F.coalesce("m", "id")).alias("component"))
 
 
+def spread(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, colour): the least ``colour`` of ``vertices`` (id, colour) that reaches each vertex along ``edges`` (src, dst), its own included; null ones do not spread."""
+    now = cut_balanced(vertices)
+    while True:
+        come = edges.join(now, F.col("src") == F.col("id")).groupBy("dst").agg(F.min("colour").alias("m"))
+        after = cut_balanced(now.join(come, F.col("id") == F.col("dst"), "left").select("id", F.least("colour", "m").alias("next"), "colour"))
+        done = after.where("not (next <=> colour)").isEmpty()
+        now = after.select("id", F.col("next").alias("colour"))
+        if done:
+            return now
+
+
+def coloured_components(files: DataFrame, adj: DataFrame) -> DataFrame:
+    """As :func:`strong_components`, without the closure. Vertices with no edge in or none out are single. Of the rest, each takes the least id that reaches it as its
+    colour; within a colour, those that reach that id back are its component. The rest goes round again."""
+    edges, found = cut_balanced(adj.where("src != dst")), []
+    while not edges.isEmpty():
+        size = edges.count()
+        while True:  # trim
+            outs, ins = edges.select(F.col("src").alias("__o")).distinct(), edges.select(F.col("dst").alias("__i")).distinct()
+            edges = cut_balanced(edges.join(outs, F.col("dst") == F.col("__o"), "left_semi").join(ins, F.col("src") == F.col("__i"), "left_semi"))
+            before, size = size, edges.count()
+            if size == before:
+                break
+        if not size:
+            break
+        vertices = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+        colour = spread(vertices.select("id", F.col("id").alias("colour")), edges)
+        a, b = (colour.select(F.col("id").alias(f"__{s}"), F.col("colour").alias(f"c{s}")) for s in "ab")
+        inside = cut_balanced(edges.join(a, F.col("src") == F.col("__a")).join(b, F.col("dst") == F.col("__b")).where("ca = cb").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        back = spread(colour.select("id", F.when(F.col("id") == F.col("colour"), F.col("colour")).alias("colour")), inside).where("colour is not null")
+        found.append(cut_balanced(back.select(F.col("id").alias("__f"), F.col("colour").alias("component"))))
+        gone = found[-1].select(F.col("__f").alias("__g"))
+        edges = cut_balanced(edges.join(gone, F.col("src") == F.col("__g"), "left_anti").join(gone, F.col("dst") == F.col("__g"), "left_anti"))
+    every = reduce(DataFrame.union, found) if found else None
+    return files.select("id", F.col("id").alias("component")) if every is None else files.join(every, F.col("id") == F.col("__f"), "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
 def cycles(scc: DataFrame, adj: DataFrame) -> DataFrame:
     """Components of more than one file, and files that depend on themselves: component, members, size."""
     loops = adj.where("src = dst").select(F.col("src").alias("id"), F.lit(True).alias("loop"))
@@ -118,10 +165,10 @@ def condensation_depth(scc: DataFrame, adj: DataFrame) -> DataFrame:
             return best
 
 
-def propagation(files: DataFrame, reach: DataFrame, scc: DataFrame, adj: DataFrame) -> DataFrame:
+def propagation(files: DataFrame, reach: DataFrame | None, scc: DataFrame, adj: DataFrame) -> DataFrame:
     """One row: reachable and possible ordered pairs and their ratio, cyclic components and files, and the largest cycle."""
     n = files.agg(F.count(F.lit(1)).alias("source_files"))
-    r = reach.where("src != dst").agg(F.count(F.lit(1)).alias("reachable_pairs"))
+    r = n.select(F.lit(None).cast("long").alias("reachable_pairs")) if reach is None else reach.where("src != dst").agg(F.count(F.lit(1)).alias("reachable_pairs"))
     cyc = cycles(scc, adj).agg(F.count(F.lit(1)).alias("cyclic_components"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("cyclic_files"), F.coalesce(F.max("size"), F.lit(0)).cast("long").alias("largest_cycle"))
     possible = F.col("source_files") * (F.col("source_files") - 1)
     out = n.crossJoin(F.broadcast(r)).crossJoin(F.broadcast(cyc)).withColumn("possible_pairs", possible)

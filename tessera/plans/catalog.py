@@ -250,11 +250,13 @@ def dep_edges(spark: SparkSession, d: str) -> DataFrame:
     return graph.grouped_edges(b.graph_edges(spark, d))
 
 
-NODES_SQL = """n AS (SELECT id, min(kind) AS kind FROM (SELECT id, 'analyzed-file' AS kind FROM ids UNION ALL SELECT target, CASE class WHEN 'internal' THEN 'analyzed-file' ELSE 'external-specifier' END FROM declared) GROUP BY id),
-nodes AS (SELECT n.id, kind, (SELECT count(DISTINCT source) FROM declared WHERE target = n.id) AS fan_in, (SELECT count(DISTINCT target) FROM declared WHERE source = n.id) AS fan_out,
-  CASE WHEN kind = 'analyzed-file' THEN (SELECT count(*) FROM adj WHERE dst = n.id) END AS direct_in, CASE WHEN kind = 'analyzed-file' THEN (SELECT count(*) FROM adj WHERE src = n.id) END AS direct_out FROM n)"""
+NODES_SQL = """n AS (SELECT id, arg_min(kind, (o, kind)) AS kind FROM (SELECT id, 'analyzed-file' AS kind, 0 AS o FROM ids UNION ALL SELECT target, CASE class WHEN 'internal' THEN 'analyzed-file' WHEN 'external' THEN 'external-specifier' ELSE 'unresolved-specifier' END, 1 FROM declared) GROUP BY id),
+fi AS (SELECT target AS id, count(DISTINCT source) AS k FROM declared GROUP BY target), fo AS (SELECT source AS id, count(DISTINCT target) AS k FROM declared GROUP BY source), ai AS (SELECT dst AS id, count(*) AS k FROM adj GROUP BY dst), ao AS (SELECT src AS id, count(*) AS k FROM adj GROUP BY src),
+nodes AS (SELECT n.id, kind, coalesce(fi.k, 0) AS fan_in, coalesce(fo.k, 0) AS fan_out, CASE WHEN kind = 'analyzed-file' THEN coalesce(ai.k, 0) END AS direct_in, CASE WHEN kind = 'analyzed-file' THEN coalesce(ao.k, 0) END AS direct_out
+  FROM n LEFT JOIN fi ON fi.id = n.id LEFT JOIN fo ON fo.id = n.id LEFT JOIN ai ON ai.id = n.id LEFT JOIN ao ON ao.id = n.id)"""
+TRANSITIVE_SQL = "ri AS (SELECT dst AS id, count(*) AS k FROM reach WHERE src <> dst GROUP BY dst), ro AS (SELECT src AS id, count(*) AS k FROM reach WHERE src <> dst GROUP BY src), transitive AS (SELECT ids.id, coalesce(ri.k, 0) AS transitive_in, coalesce(ro.k, 0) AS transitive_out FROM ids LEFT JOIN ri ON ri.id = ids.id LEFT JOIN ro ON ro.id = ids.id)"
 REACH_SQL = "RECURSIVE reach(src, dst) AS (SELECT src, dst FROM adj UNION SELECT r.src, a.dst FROM reach r JOIN adj a ON r.dst = a.src)"
-SCC_SQL = "scc AS (SELECT id, least(id, coalesce((SELECT min(x.dst) FROM reach x JOIN reach y ON x.src = y.dst AND x.dst = y.src WHERE x.src = ids.id), id)) AS component FROM ids)"
+SCC_SQL = "mutual AS (SELECT x.src AS id, min(x.dst) AS m FROM reach x JOIN reach y ON x.src = y.dst AND x.dst = y.src GROUP BY x.src), scc AS (SELECT ids.id, least(ids.id, coalesce(m, ids.id)) AS component FROM ids LEFT JOIN mutual ON mutual.id = ids.id)"
 
 
 def with_reach(rest: str) -> str:
@@ -266,12 +268,23 @@ def dep_nodes(spark: SparkSession, d: str) -> DataFrame:
     return graph.nodes(b.graph_files(spark, d), graph.grouped_edges(b.graph_edges(spark, d)))
 
 
-def reach_of(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    adj = graph.cut_balanced(graph.adjacency(b.graph_edges(spark, d)))
-    return b.graph_files(spark, d), adj, graph.closure(adj)
+def reach_of(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Files, internal edges, and their closure if it is admitted."""
+    adj, files = graph.cut_balanced(graph.adjacency(b.graph_edges(spark, d))), b.graph_files(spark, d)
+    status = graph.admission(files, adj)[0]
+    return files, adj, graph.closure(adj) if status in ("computed", "not_applicable") else None
 
 
-@query(with_reach("r AS (SELECT * FROM reach WHERE src <> dst) SELECT id, (SELECT count(*) FROM r WHERE dst = id) AS transitive_in, (SELECT count(*) FROM r WHERE src = id) AS transitive_out FROM ids"))
+@query(f"WITH {b.EDGES}, n AS (SELECT count(*) AS n FROM ids), e AS (SELECT count(*) AS e FROM adj) SELECT lim.name, CASE WHEN n = 0 THEN 'not_applicable' WHEN n > nodes THEN 'size_limit' WHEN n * (1 + e) > work THEN 'work_limit' ELSE 'computed' END AS status, n AS source_files, n * (1 + e) AS work_upper_bound"
+  " FROM n, e, (VALUES ('single_node', 10000, 100000000), ('small', 100, 1000000), ('work', 1000000000, 1000), ('cluster', 1000000000, 1000000000000000000)) lim(name, nodes, work)")
+def dep_admission(spark: SparkSession, d: str) -> DataFrame:
+    """Whether reachability is admitted under several bounds on nodes and work."""
+    adj, files = graph.cut_balanced(graph.adjacency(b.graph_edges(spark, d))), b.graph_files(spark, d)
+    bounds = (("single_node", graph.NODE_LIMIT, graph.WORK_LIMIT), ("small", 100, 1_000_000), ("work", 10**9, 1000), ("cluster", graph.CLUSTER_NODES, graph.CLUSTER_WORK))
+    return spark.createDataFrame([(name, *graph.admission(files, adj, nodes, work)) for name, nodes, work in bounds], "name string, status string, source_files long, work_upper_bound long")
+
+
+@query(with_reach(f"{TRANSITIVE_SQL} SELECT * FROM transitive"))
 def dep_reachability(spark: SparkSession, d: str) -> DataFrame:
     files, _, reach = reach_of(spark, d)
     return graph.reachability(files, reach)
@@ -279,14 +292,14 @@ def dep_reachability(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_reach(f"{SCC_SQL} SELECT * FROM scc"))
 def dep_scc(spark: SparkSession, d: str) -> DataFrame:
-    files, _, reach = reach_of(spark, d)
-    return graph.strong_components(files, reach)
+    files, adj, reach = reach_of(spark, d)
+    return graph.strong_components(files, adj, reach)
 
 
 @query(with_reach(f"{SCC_SQL} SELECT component, list_sort(list(id)) AS members, count(*) AS size FROM scc GROUP BY component HAVING count(*) > 1 OR bool_or(id IN (SELECT src FROM adj WHERE src = dst))"))
 def dep_cycles(spark: SparkSession, d: str) -> DataFrame:
     files, adj, reach = reach_of(spark, d)
-    return graph.cycles(graph.strong_components(files, reach), adj)
+    return graph.cycles(graph.strong_components(files, adj, reach), adj)
 
 
 @query(f"""WITH RECURSIVE {b.EDGES}, v AS (SELECT id FROM ids UNION SELECT target FROM declared), both_ways AS (SELECT source AS a, target AS b FROM declared UNION SELECT target, source FROM declared),
@@ -304,7 +317,7 @@ walk(c, depth) AS (SELECT DISTINCT component, 0 FROM scc UNION SELECT b, depth +
 @query(with_reach(f"{DEPTH_SQL} SELECT c AS component, max(depth) AS depth FROM walk GROUP BY c"))
 def dep_depth(spark: SparkSession, d: str) -> DataFrame:
     files, adj, reach = reach_of(spark, d)
-    return graph.condensation_depth(graph.strong_components(files, reach), adj)
+    return graph.condensation_depth(graph.strong_components(files, adj, reach), adj)
 
 
 @query(with_reach(f"""{SCC_SQL}, cyc AS (SELECT component, count(*) AS size FROM scc GROUP BY component HAVING count(*) > 1 OR bool_or(id IN (SELECT src FROM adj WHERE src = dst))),
@@ -313,13 +326,13 @@ SELECT n AS source_files, r AS reachable_pairs, cc AS cyclic_components, cf AS c
   {r6("cf / nullif(n, 0)::DOUBLE")} AS cyclic_file_fraction, {r6("lc / nullif(n, 0)::DOUBLE")} AS largest_cycle_fraction FROM n, r, c"""))
 def dep_propagation(spark: SparkSession, d: str) -> DataFrame:
     files, adj, reach = reach_of(spark, d)
-    return rounded(graph.propagation(files, reach, graph.strong_components(files, reach), adj))
+    return rounded(graph.propagation(files, reach, graph.strong_components(files, adj, reach), adj))
 
 
 MEASURES = (("fan_in", "fan_out"), ("fan_out", "fan_in"), ("transitive_in", "transitive_out"), ("transitive_out", "transitive_in"))
 
 
-@query(with_reach(NODES_SQL + ", r AS (SELECT * FROM reach WHERE src <> dst), m AS (SELECT nodes.*, (SELECT count(*) FROM r WHERE dst = id) AS transitive_in, (SELECT count(*) FROM r WHERE src = id) AS transitive_out FROM nodes WHERE kind = 'analyzed-file') "
+@query(with_reach(f"{NODES_SQL}, {TRANSITIVE_SQL}, m AS (SELECT nodes.*, transitive_in, transitive_out FROM nodes JOIN transitive USING (id) WHERE kind = 'analyzed-file') "
   + " UNION ALL ".join(f"(SELECT '{p}' AS measure, id, {p} AS primary_value, {s} AS secondary_value FROM m WHERE {p} <> 0 ORDER BY {p} DESC, {s} DESC, id LIMIT 5)" for p, s in MEASURES)))
 def dep_hotspots(spark: SparkSession, d: str) -> DataFrame:
     files, _, reach = reach_of(spark, d)
@@ -465,11 +478,11 @@ def audit_duplicate_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH t AS (SELECT 'see r-' || CAST(doc_id AS VARCHAR) || '., and r-x' || CAST(doc_id % 50 AS VARCHAR) || '!' AS t FROM labels), f AS (SELECT unnest(regexp_extract_all(t, '\\br-[A-Za-z0-9][A-Za-z0-9_./-]*')) AS raw FROM t),
-refs AS (SELECT DISTINCT regexp_replace(raw, '[.,;:!?]+$', '') AS ref FROM f) SELECT ref FROM refs WHERE ref NOT IN (SELECT 'r-' || CAST(doc_id AS VARCHAR) FROM documents WHERE doc_id % 7 <> 0)""")
+refs AS (SELECT DISTINCT regexp_replace(raw, '[.,;:!?]+$', '') AS ref FROM f) SELECT ref FROM refs WHERE ref NOT IN (SELECT 'r-' || CAST(doc_id AS VARCHAR) || (CASE WHEN doc_id % 7 = 0 THEN '-renamed' ELSE '' END) FROM documents)""")
 def audit_dangling_refs(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.lit("see r-"), F.col("doc_id").cast("string"), F.lit("., and r-x"), (F.col("doc_id") % 50).cast("string"), F.lit("!"))
     refs = audit.references(b.table(spark, d, "labels").select(text.alias("text"))).select("ref")
-    known = b.table(spark, d, "documents").where("doc_id % 7 <> 0").select(F.concat(F.lit("r-"), F.col("doc_id").cast("string")).alias("id"))
+    known = b.table(spark, d, "documents").select(F.concat(F.lit("r-"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 7 == 0, F.lit("-renamed")).otherwise(F.lit(""))).alias("id"))
     return audit.dangling(refs, known)
 
 
@@ -530,7 +543,7 @@ def joint_information(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def greedy_plan(spark: SparkSession, d: str) -> DataFrame:
     """The plan for the claims and probes of the test tables within 4 dollars, 60 seconds and 6 probes."""
-    c, p = ([r.asDict() for r in x.orderBy("id").collect()] for x in (b.claims(spark, d), b.probes(spark, d, 10)))
+    c, p = ([r.asDict() for r in x.orderBy("id").collect()] for x in (b.claims(spark, d), b.probes(spark, d)))
     steps, why = planner.greedy_plan(c, p, planner.Budget(4.0, 60.0, 6), "information_per_usd")
     schema = "ordinal int, probe_id string, claim_id string, marginal_information_bits double, marginal_risk_reduction double, cumulative_information_bits double, cumulative_expected_risk_reduction double, cumulative_usd double, cumulative_seconds double, candidate_frontier array<string>, stopped_reason string"
     return spark.createDataFrame([(*s.values(), why) for s in steps], schema)

@@ -46,14 +46,16 @@ changes AS (SELECT commit, path, max(ts) AS ts, CAST(sum(line_mass) AS BIGINT) A
 
 
 def current_files(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").where("p_partkey % 3 <> 0")
-    path = F.concat(F.replace("p_brand", F.lit("#"), F.lit("")), F.lit("/p"), F.col("p_partkey").cast("string"), suffix(F.col("p_partkey")))
+    """The parts as current files. Every third has moved since its last change, so both sides have paths that the other lacks."""
+    p = table(spark, d, "part")
+    moved = F.when(F.col("p_partkey") % 3 == 0, F.lit("/moved")).otherwise(F.lit(""))
+    path = F.concat(F.replace("p_brand", F.lit("#"), F.lit("")), moved, F.lit("/p"), F.col("p_partkey").cast("string"), suffix(F.col("p_partkey")))
     cognitive = F.col("p_retailprice").cast("long") % 40
     return p.select(path.alias("path"), F.col("p_brand").alias("language"), (F.col("p_size").cast("long") - 1).alias("current_sloc"), cognitive.alias("current_cognitive"), (cognitive % 11 + 1).alias("current_cyclomatic"))
 
 
-CURRENT = f"""current_files AS (SELECT replace(p_brand, '#', '') || '/p' || CAST(p_partkey AS VARCHAR) || {_ext_sql("p_partkey")} AS path, p_brand AS language, CAST(p_size - 1 AS BIGINT) AS current_sloc,
-  CAST(trunc(p_retailprice) AS BIGINT) % 40 AS current_cognitive, CAST(trunc(p_retailprice) AS BIGINT) % 40 % 11 + 1 AS current_cyclomatic FROM part WHERE p_partkey % 3 <> 0)"""
+CURRENT = f"""current_files AS (SELECT replace(p_brand, '#', '') || (CASE WHEN p_partkey % 3 = 0 THEN '/moved' ELSE '' END) || '/p' || CAST(p_partkey AS VARCHAR) || {_ext_sql("p_partkey")} AS path, p_brand AS language, CAST(p_size - 1 AS BIGINT) AS current_sloc,
+  CAST(trunc(p_retailprice) AS BIGINT) % 40 AS current_cognitive, CAST(trunc(p_retailprice) AS BIGINT) % 40 % 11 + 1 AS current_cyclomatic FROM part)"""
 
 
 def function_metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -100,25 +102,30 @@ def file_metrics_sql(name: str = "files", year: int | None = None) -> str:
 
 
 def graph_files(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
 
 
 def graph_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Declared edges between nations that trade: internal between nations, external to a market segment."""
-    li = table(spark, d, "lineitem").where("l_quantity = 50 and l_discount >= 0.09").select("l_orderkey", "l_suppkey", "l_linenumber")
-    o = table(spark, d, "orders").where("o_orderpriority like '1%'").select("o_orderkey", "o_custkey")
-    c = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
-    j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
-    inner = j.select(F.col("c_nationkey").cast("long").alias("source"), F.col("s_nationkey").cast("long").alias("target"), F.lit("internal").alias("class"), F.col("l_linenumber").alias("line"))
-    outer = j.select(F.col("c_nationkey").cast("long"), (F.lit(1000) + F.length("c_mktsegment")).cast("long"), F.lit("external"), F.col("l_linenumber"))
-    return inner.union(outer)
+    """Declared edges between orders: each depends on the customer's next order of the same year, and an urgent last one on the first, which closes a cycle. It does so on each
+    of its lines that was returned or not, whatever the line. Every line also depends on its customer (external), and lines without a return on a name of the customer's that nothing answers to."""
+    from pyspark.sql import Window
+
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("y"), "o_orderdate", "o_orderpriority")
+    w = Window.partitionBy("o_custkey", "y").orderBy("o_orderdate", "o_orderkey")
+    first = F.first("o_orderkey").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    o = o.withColumn("after", F.coalesce(F.lead("o_orderkey").over(w), F.when(F.col("o_orderpriority") == "1-URGENT", first)))
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
+    j = li.join(o.select("o_orderkey", "after", (-1 - F.col("o_custkey")).alias("customer")), F.col("l_orderkey") == F.col("o_orderkey"))
+    none = F.when(F.col("l_returnflag") == "N", F.col("customer") - 1_000_000_000_000)
+    each = F.explode(F.array(F.struct(F.col("after").alias("target"), F.lit("internal").alias("class")), F.struct(F.col("customer").alias("target"), F.lit("external").alias("class")), F.struct(none.alias("target"), F.lit("unresolved").alias("class"))))
+    return j.select(F.col("o_orderkey").alias("source"), each.alias("e"), F.col("l_linenumber").alias("line")).select("source", "e.target", "e.class", "line").where("target is not null")
 
 
-EDGES = """trade AS (SELECT CAST(c_nationkey AS BIGINT) AS c, CAST(s_nationkey AS BIGINT) AS s, c_mktsegment AS m, l_linenumber AS line FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-  JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity = 50 AND l_discount >= 0.09 AND o_orderpriority LIKE '1%'),
-declared AS (SELECT c AS source, s AS target, 'internal' AS class, line FROM trade UNION ALL SELECT c, CAST(1000 + length(m) AS BIGINT), 'external', line FROM trade),
-adj AS (SELECT DISTINCT source AS src, target AS dst FROM declared WHERE class = 'internal'), ids AS (SELECT CAST(n_nationkey AS BIGINT) AS id FROM nation)"""
+EDGES = """ordered AS (SELECT o_orderkey, o_custkey, coalesce(lead(o_orderkey) OVER w, CASE WHEN o_orderpriority = '1-URGENT' THEN first(o_orderkey) OVER (PARTITION BY o_custkey, year(o_orderdate) ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) END) AS after
+  FROM orders WINDOW w AS (PARTITION BY o_custkey, year(o_orderdate) ORDER BY o_orderdate, o_orderkey)),
+trade AS (SELECT o_orderkey AS c, after, -1 - o_custkey AS m, l_linenumber AS line, l_returnflag AS f FROM lineitem JOIN ordered ON l_orderkey = o_orderkey),
+declared AS MATERIALIZED (SELECT c AS source, after AS target, 'internal' AS class, line FROM trade WHERE after IS NOT NULL UNION ALL SELECT c, m, 'external', line FROM trade UNION ALL SELECT c, m - 1000000000000, 'unresolved', line FROM trade WHERE f = 'N'),
+adj AS MATERIALIZED (SELECT DISTINCT source AS src, target AS dst FROM declared WHERE class = 'internal'), ids AS (SELECT o_orderkey AS id FROM orders)"""
 
 
 def receipts(spark: SparkSession, d: str) -> DataFrame:
@@ -140,9 +147,9 @@ def claims(spark: SparkSession, d: str) -> DataFrame:
     return j.groupBy(F.col("lang").alias("id")).agg(F.avg(F.col("toxic").cast("double")).alias("prior_probability")).withColumns({"false_positive_loss": F.lit(1.0), "false_negative_loss": (F.ascii("id") % 7 + 1).cast("double"), "importance": (F.ascii("id") % 3 + 1).cast("double")})
 
 
-def probes(spark: SparkSession, d: str, below: int = 5) -> DataFrame:
-    """A probe for each language and last digit of the source under ``below``: how often quality goes with the label, smoothed."""
-    j = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang", "source"), "doc_id").withColumn("digit", F.substring("source", -1, 1).cast("int")).where(F.col("digit") < below)
+def probes(spark: SparkSession, d: str) -> DataFrame:
+    """A probe for each language and last digit of the source: how often quality goes with the label, smoothed."""
+    j = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang", "source"), "doc_id").withColumn("digit", F.substring("source", -1, 1).cast("int"))
     hit = lambda t, q: F.sum(F.when((F.col("toxic") == t) & (F.col("quality") == q), 1.0).otherwise(0.0))
     g = j.groupBy("lang", "digit").agg(((hit(1, 1) + 1) / (hit(1, 1) + hit(1, 0) + 2)).alias("sensitivity"), ((hit(0, 0) + 1) / (hit(0, 0) + hit(0, 1) + 2)).alias("specificity"))
     digit = F.col("digit").cast("double")
@@ -150,6 +157,6 @@ def probes(spark: SparkSession, d: str, below: int = 5) -> DataFrame:
 
 
 PLAN = """claims AS (SELECT lang AS id, avg(CAST(toxic AS DOUBLE)) AS prior_probability, 1.0::DOUBLE AS false_positive_loss, CAST(ascii(lang) % 7 + 1 AS DOUBLE) AS false_negative_loss, CAST(ascii(lang) % 3 + 1 AS DOUBLE) AS importance FROM labels JOIN documents USING (doc_id) GROUP BY lang),
-lab AS (SELECT lang, CAST(substr(source, -1) AS INTEGER) AS digit, toxic, quality FROM labels JOIN documents USING (doc_id) WHERE CAST(substr(source, -1) AS INTEGER) < 5),
+lab AS (SELECT lang, CAST(substr(source, -1) AS INTEGER) AS digit, toxic, quality FROM labels JOIN documents USING (doc_id)),
 probes AS (SELECT lang || '-' || CAST(digit AS VARCHAR) AS id, lang AS claim_id, (count(*) FILTER (toxic = 1 AND quality = 1) + 1) / (count(*) FILTER (toxic = 1) + 2)::DOUBLE AS sensitivity,
   (count(*) FILTER (toxic = 0 AND quality = 0) + 1) / (count(*) FILTER (toxic = 0) + 2)::DOUBLE AS specificity, digit * 0.5::DOUBLE + 0.25::DOUBLE AS expected_usd, CAST(10 - digit AS DOUBLE) AS expected_seconds FROM lab GROUP BY lang, digit)"""
