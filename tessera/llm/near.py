@@ -1,18 +1,21 @@
 """N-gram Jaccard join by a MinHash LSH forest, with exact verification.
 
-A document is its set of word n-grams (case ignored). Documents of equal sets are one vertex. Each of ``trees`` prefix tries holds all
-signatures of ``DEEPEST`` MinHash values; matched prefixes are shortened, from the deepest, until a pair at the threshold is met in some trie
-with the target recall. All pairs of a prefix block, whatever its size, are linked if their whole signatures look similar
-enough (three standard errors below the threshold), and linked documents form components. A large block is compared in cells of
-two sub-blocks, so no task holds more than those, but the work is the square of the block. Within a component all pairs are
-checked exactly by their n-gram sets, in blocks, so each set moves once for a component that fits a block.
-
-Pairs of documents of equal sets are given as a star: the least id of the set with each other id, at similarity 1. Pairs of documents of unlike
-sets are given between the least ids of both sets. So every similar pair follows from the rows, without the square of a group of copies.
-
-Defined cases: documents without words, and null ids, are in no pair; texts of fewer than n words are one n-gram of all of them;
-repeated rows are one document; an id with several texts counts with each, and the highest similarity of a pair is reported; an id is never
-paired with itself; an empty table gives no rows; other columns are not read.
+A document is its set of word n-grams (case ignored). Documents of equal sets are one vertex, named by a 64-bit digest of the set. Each of ``trees``
+prefix tries holds all signatures of ``DEEPEST`` MinHash values. Matched prefixes are shortened from the deepest, until a pair at the threshold would be met in
+some trie with the target recall, and further while the recall measured on ``PROBES`` sets falls short of it: what the probes meet in one half of the
+tries and what they meet in the other tell how much both halves miss (capture and recapture), over the pairs that lie near the threshold.
+
+All pairs of a prefix block, whatever its size, are linked if their whole signatures look similar enough (three standard errors below the threshold), and
+linked sets form components. A large block is compared in cells of two sub-blocks, so no task holds more than those, but the work is the square
+of the block. Within a component all pairs are checked exactly by their n-gram sets, in blocks, so each set moves once for a component that fits a block.
+
+:func:`near_classes` has a row for each document: its class (the least doc_id of all that are similar, directly or by others) and its number of links,
+that is, of similar documents, copies included. The pairs themselves are counted where they are found and never written. :func:`near_pairs` lists them
+between one document of each set, and equal sets as stars.
+
+Defined cases: documents without words have a class of their own and no links; so have null ids, whose class is null; texts of fewer than n words are one n-gram of all
+of them; repeated rows are one document and one row; an id with several texts is one document, whose links are those of all its texts, among each other too;
+in :func:`near_pairs` the highest similarity of a pair is reported and an id is never paired with itself; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,20 +33,71 @@ from tessera.llm.graph import components, labels
 from tessera.llm.tables import small, table
 from tessera.plans.checkpoints import cut
 
-N, THRESHOLD, TREES, DEEPEST, RECALL, SEED, BLOCK = 3, 0.5, 24, 4, 0.95, 17, 2048
+N, THRESHOLD, TREES, DEEPEST, RECALL, SEED, BLOCK, PROBES = 3, 0.5, 24, 4, 0.95, 17, 2048, 1000
 #: The pairs of a prefix block of at most so many documents are listed as rows; those of larger ones are compared in cells.
 FEW = 32
-SKETCH = "id long, n int, d1 long, d2 long, keys array<long>, sig binary"
+SKETCH = "id long, v long, values binary"
 
 
-def depth(threshold: float, trees: int, recall: float) -> int:
-    """Matched prefixes are shortened from the deepest until pairs at the threshold are met with the recall asked for."""
-    x = DEEPEST
+def depth(threshold: float, trees: int, recall: float, deepest: int = DEEPEST) -> int:
+    """The prefix length, shortened from the deepest, at which pairs at the threshold are met with the recall asked for."""
+    x = deepest
     while x > 1 and 1 - (1 - threshold**x) ** trees < recall:
         x -= 1
     return x
 
 
+def trie_keys(m: np.ndarray, x: int) -> np.ndarray:
+    """Keys of the prefixes of length x in each trie, from rows of MinHash values."""
+    by_tree = m.reshape(len(m), -1, DEEPEST).astype(np.uint64)
+    key = np.broadcast_to(tk.mix(np.arange(1, by_tree.shape[1] + 1, dtype=np.uint64)), by_tree.shape[:2])
+    for k in range(x):
+        key = tk.mix(key * tk.STEP + by_tree[:, :, k])
+    return key
+
+
+def unpacked(column) -> np.ndarray:
+    """Rows of MinHash values from a binary column of equally long values."""
+    data = np.frombuffer(b"".join(column.to_pylist()), np.uint32)
+    return data.reshape(len(column), -1) if len(column) else data.reshape(0, DEEPEST)
+
+
+def measured(sets: DataFrame, x: int, threshold: float, probes: int, seed: int) -> float:
+    """Recall at prefix length x of pairs near the threshold, estimated from those that ``probes`` sets meet; 1 if they meet none."""
+    chosen = sets.orderBy(F.xxhash64("v", F.lit(seed)), "v").limit(probes).select("v", "values").toArrow()
+    if not chosen.num_rows:
+        return 1.0
+    values = unpacked(chosen.column("values"))
+    keys = trie_keys(values, x)
+    half = np.broadcast_to(np.arange(keys.shape[1]) % 2, keys.shape)
+    order = np.argsort(keys.reshape(-1))
+    held = sets.sparkSession.sparkContext.broadcast((chosen.column("v").to_numpy(), (values & np.uint32(255)).astype(np.uint8), keys.reshape(-1)[order], (order // keys.shape[1]).astype(np.int64), half.reshape(-1)[order]))
+
+    def run(batches):
+        own, sigs, keys, owner, half = held.value
+        met = np.zeros(3, np.int64)
+        for batch in batches:
+            v, m = batch.column(0).to_numpy(), unpacked(batch.column(1))
+            for lo in range(0, len(m), 4096):
+                mine, sig = trie_keys(m[lo : lo + 4096], x).reshape(-1), (m[lo : lo + 4096] & np.uint32(255)).astype(np.uint8)
+                i, j = np.searchsorted(keys, mine), np.searchsorted(keys, mine, "right")
+                at = np.flatnonzero(j > i)
+                size = (j - i)[at]
+                entry = np.repeat(i[at], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                row = np.repeat(at // (len(mine) // len(sig)), size)
+                pair, inverse = np.unique(row * len(own) + owner[entry], return_inverse=True)
+                halves = np.zeros((len(pair), 2), bool)
+                halves[inverse, half[entry]] = True
+                r, p = pair // len(own), pair % len(own)
+                same = ((sig[r] == sigs[p]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+                use = halves[(same >= threshold) & (same < threshold + 0.1) & (v[lo + r] != own[p])]
+                met += [use[:, 0].sum(), use[:, 1].sum(), use.all(axis=1).sum()]
+        yield pa.RecordBatch.from_arrays([pa.array([int(n)]) for n in met], names=["a", "b", "both"])
+
+    a, b, both = sets.select("v", "values").mapInArrow(run, "a long, b long, both long").agg(F.sum("a"), F.sum("b"), F.sum("both")).first()
+    return 1.0 if not (a and b) else (a + b - both) * both / (a * b)
+
+
 def signatures(flat: np.ndarray, offs: np.ndarray, count: int, seed: int) -> np.ndarray:
     """``count`` MinHash values of each nonempty set."""
     rng = np.random.default_rng(seed)
@@ -57,8 +111,13 @@ def signatures(flat: np.ndarray, offs: np.ndarray, count: int, seed: int) -> np.
     return out
 
 
-def sketches(docs: DataFrame, n: int, trees: int, x: int, seed: int) -> DataFrame:
-    """Digest, trie keys at depth x, and a byte of each MinHash value, of every document with words."""
+def digests(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each nonempty set."""
+    return tk.mix(np.add.reduceat(flat, at[:-1]) * tk.STEP + np.add.reduceat(tk.mix(flat), at[:-1]) + np.diff(at).astype(np.uint64)).view(np.int64)
+
+
+def sketches(docs: DataFrame, n: int, trees: int, seed: int) -> DataFrame:
+    """Digest and MinHash values of every document with words."""
 
     def run(batches):
         for batch in batches:
@@ -66,31 +125,28 @@ def sketches(docs: DataFrame, n: int, trees: int, x: int, seed: int) -> DataFram
             for lo, hi, data, offs in tk.slices(batch.column(1)):
                 flat, at = tk.shingle_sets(data, offs, n)
                 some = np.flatnonzero(np.diff(at))
-                if not len(some):
-                    continue
-                at = np.concatenate([at[some], at[-1:]])
-                m = signatures(flat, at, trees * DEEPEST, seed)
-                by_tree = m.reshape(len(some), trees, DEEPEST).astype(np.uint64)
-                key = np.broadcast_to(tk.mix(np.arange(1, trees + 1, dtype=np.uint64)), by_tree.shape[:2])
-                for k in range(x):
-                    key = tk.mix(key * tk.STEP + by_tree[:, :, k])
-                lists = np.arange(len(some) + 1, dtype=np.int32) * trees
-                sig = (m & np.uint32(255)).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.take(pa.array(some + lo)),
-                        pa.array(np.diff(at).astype(np.int32)),
-                        pa.array(np.add.reduceat(flat, at[:-1]).view(np.int64)),
-                        pa.array(np.add.reduceat(tk.mix(flat), at[:-1]).view(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(lists), pa.array(key.reshape(-1).view(np.int64))),
-                        pa.array([row.tobytes() for row in sig], pa.binary()),
-                    ],
-                    names=["id", "n", "d1", "d2", "keys", "sig"],
-                )
+                if len(some):
+                    at = np.concatenate([at[some], at[-1:]])
+                    m = signatures(flat, at, trees * DEEPEST, seed)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(some + lo)), pa.array(digests(flat, at)), pa.array([row.tobytes() for row in m], pa.binary())], names=["id", "v", "values"])
 
     return docs.where("doc_id is not null").select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("text")).mapInArrow(run, SKETCH)
 
 
+def keyed(sets: DataFrame, x: int) -> DataFrame:
+    """id (the digest), its trie keys at prefix length x, and a byte of each MinHash value."""
+
+    def run(batches):
+        for batch in batches:
+            m = unpacked(batch.column(1))
+            key = trie_keys(m, x)
+            lists = np.arange(len(m) + 1, dtype=np.int32) * key.shape[1]
+            sig = (m & np.uint32(255)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(lists), pa.array(key.reshape(-1).view(np.int64))), pa.array([row.tobytes() for row in sig], pa.binary())], names=["id", "keys", "sig"])
+
+    return sets.select("v", "values").mapInArrow(run, "id long, keys array<long>, sig binary")
+
+
 def alike(x: np.ndarray, y: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Edges that span the rows of ``x``, then of ``y``, as do all pairs of them that agree enough: within ``x``, or between both."""
     width = x.shape[1]
@@ -166,73 +222,102 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def verified(docs: DataFrame, members: DataFrame, n: int, threshold: float, pairs: bool, block: int) -> DataFrame:
-    """Exact check within the components ``members`` (id, root). Similar pairs (a, b, jaccard), or with ``pairs`` false edges (a, b) that span them."""
+    """Exact check within the components ``members`` (v, root, doc, copies). (a, b, jaccard, links): the similar pairs, or with ``pairs`` false pairs that
+    span them, with links null, and in rows with a = b parts of the number of documents of other sets that are similar to a."""
     sizes = members.groupBy(F.col("root").alias("__r")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("__nb"))
-    members = cut(members.join(sizes, F.col("root") == F.col("__r")).select(F.col("id").alias("__id"), "root", "__nb"))
-    rows = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("text")).join(small(members), F.col("doc_id") == F.col("__id"))
-    rows = rows.withColumn("__b", F.expr("cast(pmod(xxhash64(doc_id), __nb) as int)")).select("doc_id", "text", "root", "__b", "__nb")
+    members = cut(members.join(sizes, F.col("root") == F.col("__r")).select(F.col("doc").alias("__doc"), "v", "root", "__nb", "copies"))
+    rows = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("text")).join(small(members), F.col("doc_id") == F.col("__doc"))
+    rows = rows.withColumn("__b", F.expr("cast(pmod(xxhash64(v), __nb) as int)")).select("v", "text", "root", "__b", "__nb", "copies")
 
     def sets(batches):
         for batch in batches:
             for lo, hi, data, offs in tk.slices(batch.column(1)):
                 flat, at = tk.shingle_sets(data, offs, n)
                 some = np.flatnonzero(np.diff(at))
+                if len(some):
+                    own = digests(flat, np.concatenate([at[some], at[-1:]]))
+                    some = some[own == batch.column(0).to_numpy()[some + lo]]  # an id may have other texts too
                 take = pa.array(some + lo)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), *(batch.column(k).take(take) for k in (2, 3, 4)), pa.array([flat[at[d] : at[d + 1]].tobytes() for d in some], pa.binary())], names=["id", "root", "b", "nb", "grams"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), *(batch.column(k).take(take) for k in (2, 3, 4, 5)), pa.array([flat[at[d] : at[d + 1]].tobytes() for d in some], pa.binary())], names=["v", "root", "b", "nb", "copies", "grams"])
 
-    cells = rows.mapInArrow(sets, "id long, root long, b int, nb int, grams binary")
-    cells = cells.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("id", "root", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "grams")
+    cells = rows.mapInArrow(sets, "v long, root long, b int, nb int, copies long, grams binary")
+    cells = cells.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("v", "root", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "copies", "grams")
 
     def check(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["id", "grams"]).sort_values("id", kind="stable")
-        ids, blocks = pdf["id"].to_numpy(), pdf["b"].to_numpy()
+        pdf = pdf.drop_duplicates("v").sort_values("v", kind="stable")
+        ids, blocks, copies = pdf["v"].to_numpy(), pdf["b"].to_numpy(), pdf["copies"].to_numpy()
         grams = [np.frombuffer(g, np.uint64) for g in pdf["grams"]]
         size = np.array([len(g) for g in grams], float)
         if len(ids) < 2:
-            return pd.DataFrame({"a": ids[:0], "b": ids[:0], "jaccard": size[:0]})
+            return pd.DataFrame({"a": ids[:0], "b": ids[:0], "jaccard": size[:0], "links": ids[:0]})
         both = overlaps(grams).astype(float)
         similar = both / (size[:, None] + size[None, :] - both)
-        a, b = np.nonzero(np.triu(similar >= threshold - 1e-12, 1) & (ids[:, None] != ids[None, :]))
+        a, b = np.nonzero(np.triu(similar >= threshold - 1e-12, 1))
         if pdf["i"].iloc[0] != pdf["j"].iloc[0]:
             cross = blocks[a] != blocks[b]
             a, b = a[cross], b[cross]
-        if not pairs:
-            root = labels(a, b, len(ids))
-            b = np.flatnonzero(root != np.arange(len(ids)))
-            a = root[b]
-        out = pd.DataFrame({"a": ids[a], "b": ids[b], "jaccard": similar[a, b]})
-        return out.sort_values("jaccard", ascending=False).drop_duplicates(["a", "b"])
+        if pairs:
+            return pd.DataFrame({"a": ids[a], "b": ids[b], "jaccard": similar[a, b], "links": pd.array([None] * len(a), dtype="Int64")})
+        links = np.bincount(a, copies[b], len(ids)) + np.bincount(b, copies[a], len(ids))
+        some, root = np.flatnonzero(links), labels(a, b, len(ids))
+        b = np.flatnonzero(root != np.arange(len(ids)))
+        a = root[b]
+        return pd.DataFrame({"a": np.concatenate([ids[a], ids[some]]), "b": np.concatenate([ids[b], ids[some]]), "jaccard": np.concatenate([similar[a, b], np.ones(len(some))]), "links": pd.array([*[None] * len(a), *links[some].astype(np.int64)], dtype="Int64")})
 
-    return cells.groupBy("root", "i", "j").applyInPandas(check, "a long, b long, jaccard double")
+    return cells.groupBy("root", "i", "j").applyInPandas(check, "a long, b long, jaccard double, links long")
 
 
-def joined(docs: DataFrame, pairs: bool, n: int = N, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, seed: int = SEED, block: int = BLOCK, few: int = FEW) -> DataFrame:
-    """Similar pairs (a < b, jaccard), equal sets as stars; with ``pairs`` false, edges that connect what is similar."""
+def joined(docs: DataFrame, pairs: bool, n: int = N, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, seed: int = SEED, block: int = BLOCK, few: int = FEW, probes: int = PROBES) -> tuple[DataFrame, DataFrame]:
+    """The sets of each document (id, v), one row each, and what :func:`verified` finds between sets."""
+    all_ = cut(sketches(docs, n, trees, seed))
+    owned = cut(all_.select("id", "v").distinct())
+    sets = cut(all_.groupBy("v").agg(F.first("values").alias("values")))
     x = depth(threshold, trees, recall)
-    all_ = cut(sketches(docs, n, trees, x, seed))
-    sets = cut(all_.groupBy("d1", "d2", "n").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("sig").alias("sig")))
-    firsts = sets.select(F.col("d1").alias("__d1"), F.col("d2").alias("__d2"), F.col("n").alias("__n"), F.col("id").alias("a"))
-    stars = all_.select("id", "d1", "d2", "n").join(firsts, (F.col("d1") == F.col("__d1")) & (F.col("d2") == F.col("__d2")) & (F.col("n") == F.col("__n"))).where("id != a")
-    stars = stars.select("a", F.col("id").alias("b"), F.lit(1.0).alias("jaccard")).distinct()
+    while x > 1 and measured(sets, x, threshold, probes, seed) < recall:
+        x -= 1
     margin = 3 * math.sqrt(threshold * (1 - threshold) / (trees * DEEPEST))
-    members = cut(components(links(sets, threshold - margin, few, 4 * block)))
-    found = verified(docs, members, n, threshold, pairs, block)
-    return found.union(stars).groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
+    members = cut(components(links(cut(keyed(sets, x)), threshold - margin, few, 4 * block)))
+    first = owned.groupBy(F.col("v").alias("__v")).agg(F.min("id").alias("doc"), F.count(F.lit(1)).alias("copies"))
+    members = members.join(first, F.col("id") == F.col("__v")).select(F.col("id").alias("v"), "root", "doc", "copies")
+    return owned, verified(docs, members, n, threshold, pairs, block)
 
 
 def near_pairs(docs: DataFrame, **options) -> DataFrame:
-    """doc_id_a, doc_id_b, jaccard."""
-    return joined(docs, True, **options).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"), "jaccard")
-
-
-def near_groups(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, group_id (its least doc_id) of every document that is similar to another, directly or by others."""
-    return components(joined(docs, False, **options)).select(F.col("id").alias("doc_id"), F.col("root").alias("group_id"))
+    """doc_id_a, doc_id_b, jaccard of similar sets, each by its least doc_id, and of equal ones as a star."""
+    owned, found = joined(docs, True, **options)
+    first = cut(owned.groupBy(F.col("v").alias("__v")).agg(F.min("id").alias("doc")))
+    a, b = (first.select(F.col("__v").alias(f"__{s}"), F.col("doc").alias(f"doc_{s}")) for s in "ab")
+    unlike = found.join(a, F.col("a") == F.col("__a")).join(b, F.col("b") == F.col("__b")).select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b"), "jaccard")
+    stars = owned.join(first, F.col("v") == F.col("__v")).select(F.col("doc").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
+    return unlike.union(stars).where("a < b").groupBy(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b")).agg(F.max("jaccard").alias("jaccard"))
+
+
+def linked(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, class_id, n_links of every document with words."""
+    owned, found = joined(docs, False, **options)
+    found = cut(found)
+    several = owned.groupBy(F.col("id").alias("__i")).agg(F.min("v").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    several = several.join(owned, F.col("__i") == F.col("id")).select("a", F.col("v").alias("b"))
+    root = cut(components(found.where("links is null").select("a", "b").union(several)))
+    links_of = found.where("links is not null").groupBy(F.col("a").alias("__v")).agg(F.sum("links").alias("links"))
+    copies = owned.groupBy(F.col("v").alias("__w")).agg(F.count(F.lit(1)).alias("copies"))
+    each = owned.join(root.withColumnRenamed("id", "__x"), F.col("v") == F.col("__x"), "left").join(links_of, F.col("v") == F.col("__v"), "left").join(copies, F.col("v") == F.col("__w"))
+    each = cut(each.select("id", F.coalesce("root", "v").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")))
+    least = each.groupBy(F.col("root").alias("__r")).agg(F.min("id").alias("class_id"))
+    return each.join(least, F.col("root") == F.col("__r")).groupBy(F.col("id").alias("doc_id")).agg(F.min("class_id").alias("class_id"), F.sum("links").alias("n_links"))
+
+
+def near_classes(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, class_id, n_links of every document."""
+    got = linked(docs, **options).withColumnRenamed("doc_id", "__id")
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    every = every.where("doc_id is not null").distinct().union(every.where("doc_id is null"))
+    return every.join(got, F.col("doc_id") == F.col("__id"), "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The documents, all columns, without all but the least doc_id of each group, and each repeated (doc_id, text) once. Null ids stay."""
-    gone = cut(near_groups(docs, **options).where("doc_id != group_id").select(F.col("doc_id").alias("__gone")))
+    """The documents, all columns, without all but the least doc_id of each class, and each repeated (doc_id, text) once. Null ids stay."""
+    gone = cut(linked(docs, **options).where("doc_id != class_id").select(F.col("doc_id").alias("__gone")))
     again = cut(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("__again")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__again"))
     rest = docs.join(small(gone), docs["doc_id"] == gone["__gone"], "left_anti")
     twice = again.count()
@@ -243,4 +328,4 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
 
 
 def op4_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_pairs(table(spark, sf_dir, "documents"))
+    return near_classes(table(spark, sf_dir, "documents"))
