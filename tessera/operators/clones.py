@@ -1,35 +1,63 @@
-"""Clone detection over token streams (file, language, pos, token, line).
+"""Clone detection over token streams: the texts of files (file, language, text), split at white space.
 
-Fixed windows of k tokens are grouped by digest: a group-by, never a pairwise join, so a window that thousands of files share costs as many rows.
-Only ``diagonals``, whose result is pairs, joins occurrences, and only where a run of a pair begins or ends.
+Windows of k tokens are hashed in Arrow batches and grouped by 128 bits: a group-by, never a pairwise join, so a window that thousands of files
+share costs as many rows. Files of equal token streams are compared once. Maximal runs are found from the windows where a run of a pair begins or ends;
+pairs are formed only there, between different streams. Positions count tokens from 1; ranges are half open.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import tokens as tok
 from tessera.plans.checkpoints import cut
 
+GRAM = ["language", "h1", "h2"]
 
-def kgrams(docs: DataFrame, tokens: Column, k: int) -> DataFrame:
-    """(file, language, pos, digest, before, after) of each window of k tokens of ``docs`` (file, language), and the tokens around it; positions from 1."""
-    t = docs.select("file", "language", tokens.alias("__t"))
-    n = F.size("__t") - (k - 1)
-    windows = F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.struct(i.alias("pos"), F.md5(F.array_join(F.slice("__t", i, k), " ")).alias("digest"), F.get("__t", i - 2).alias("before"), F.get("__t", i + (k - 1)).alias("after")))).otherwise(F.array())
-    return t.select("file", "language", F.explode(windows).alias("w")).select("file", "language", F.col("w.pos").cast("long").alias("pos"), F.col("w.digest").alias("digest"), "w.before", "w.after")
 
+def kgrams(docs: DataFrame, k: int) -> DataFrame:
+    """(file, language, pos, h1, h2, before, after, line) of each window of k tokens, hashes of the tokens around it (null at an end), and the line where it begins."""
 
-def repeated(grams: DataFrame) -> DataFrame:
-    """Windows that occur more than once in a language: language, digest, occurrences, files, first_file, first_pos."""
-    g = grams.groupBy("language", "digest").agg(F.count(F.lit(1)).alias("occurrences"), F.count_distinct("file").alias("files"), F.min(F.struct("file", "pos")).alias("f"))
-    return g.where("occurrences > 1").select("language", "digest", "occurrences", "files", F.col("f.file").alias("first_file"), F.col("f.pos").alias("first_pos"))
+    def run(batches):
+        for batch in batches:
+            t = tok.Tokens(*tok.texts(batch.column(2)))
+            at, (h1, h2) = t.windows(k)
+            doc = t.doc[at]
+            rows, n = pa.array(doc), len(t.doc)
+            before, after = at - 1, at + k
+            begins, ends = at == t.first[doc], after == t.first[doc + 1]
+            around = [pa.array(t.hashes[0][np.clip(x, 0, max(n - 1, 0))].view(np.int64), mask=m) for x, m in ((before, begins), (after, ends))] if n else [pa.array([], pa.int64())] * 2
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at - t.first[doc] + 1), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), *around, pa.array(t.line[at])],
+                names=["file", "language", "pos", "h1", "h2", "before", "after", "line"],
+            )
+
+    kind = docs.schema["file"].dataType.simpleString()
+    return docs.select("file", "language", "text").mapInArrow(run, f"file {kind}, language string, pos long, h1 long, h2 long, before long, after long, line long")
+
+
+def split_tokens(text: Column) -> Column:
+    return F.split(F.regexp_replace(text, r"^\s+|\s+$", ""), r"\s+")
+
+
+def repeated(grams: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """Windows that occur more than once in a language: language, digest (of the joined tokens), occurrences, files, first_file, first_pos."""
+    per_file = grams.groupBy(*GRAM, "file").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos"))
+    g = per_file.groupBy(*GRAM).agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("files"), F.min(F.struct("file", "pos")).alias("f")).where("occurrences > 1")
+    # the text of a file is split once for all windows that occur there first; they are no more than its tokens
+    at = g.groupBy(F.col("f.file").alias("__file")).agg(F.collect_list(F.struct(F.col("f.pos").alias("pos"), "language", "occurrences", "files")).alias("__w"))
+    named = at.join(docs.select("file", split_tokens(F.col("text")).alias("__t")), F.col("__file") == F.col("file"))
+    w = F.explode(F.transform("__w", lambda x: F.struct(x["language"].alias("language"), F.md5(F.array_join(F.slice(F.col("__t"), x["pos"].cast("int"), k), " ")).alias("digest"), x["occurrences"].alias("occurrences"), x["files"].alias("files"), F.col("file").alias("first_file"), x["pos"].alias("first_pos"))))
+    return named.select(w.alias("w")).select("w.*")
 
 
 def cloned_windows(grams: DataFrame) -> DataFrame:
-    """Occurrences of the repeated windows, with how often their digest occurs."""
-    g = grams.groupBy("language", "digest").agg(F.count(F.lit(1)).alias("occurrences")).where("occurrences > 1")
-    return grams.join(g, ["language", "digest"])
+    """Occurrences of the repeated windows, with how often each occurs."""
+    g = grams.groupBy(*GRAM).agg(F.count(F.lit(1)).alias("occurrences")).where("occurrences > 1")
+    return grams.join(g, GRAM)
 
 
 def islands(ranges: DataFrame, by: str, start: str, end: str) -> DataFrame:
@@ -47,26 +75,100 @@ def union_mass(ranges: DataFrame, by: str, start: str, end: str) -> DataFrame:
 
 
 def diagonals(grams: DataFrame, k: int) -> DataFrame:
-    """Maximal runs of at least k equal tokens between any two places, as (language, left_file, right_file, shift, left_start, right_start, tokens).
+    """Maximal runs of at least k equal tokens between any two places, as (language, left_file, right_file, shift, left_start, right_start, tokens), not yet cut
+    where both ends are in one file and overlap.
 
     All pairs of occurrences count, left before right by (file, pos). A pair of equal windows begins a run if the tokens before them differ, or one
-    has none, and ends it if those after them do; windows with the same tokens around all their occurrences are not joined. Within one file a run
-    is cut to the distance of its two ends, so that they do not overlap; shorter than k it is dropped.
+    has none, and ends it if those after them do; windows with the same tokens around all their occurrences are not joined.
     """
     differ = lambda c: (F.min(c) != F.max(c)) | (F.count(c) < F.count(F.lit(1)))
-    edges = grams.groupBy("language", "digest").agg(F.count(F.lit(1)).alias("n"), *(F.coalesce(differ(c), F.lit(True)).alias(f"__{c}") for c in ("before", "after")))
-    g = cut(grams.join(edges.where("n > 1 and (__before or __after)"), ["language", "digest"]))
+    edges = grams.groupBy(*GRAM).agg(F.count(F.lit(1)).alias("n"), *(F.coalesce(differ(c), F.lit(True)).alias(f"__{c}") for c in ("before", "after")))
+    g = cut(grams.join(edges.where("n > 1 and (__before or __after)"), GRAM))
 
     def ends(side: str) -> DataFrame:
-        some = g.where(f"__{side}").select("language", "digest", "file", "pos", F.col(side).alias("t"))
+        some = g.where(f"__{side}").select(*GRAM, "file", "pos", F.col(side).alias("t"))
         x, y = some.alias("x"), some.alias("y")
         earlier = F.struct("x.file", "x.pos") < F.struct("y.file", "y.pos")
-        j = x.join(y, (F.col("x.language") == F.col("y.language")) & (F.col("x.digest") == F.col("y.digest")) & earlier & F.coalesce(F.col("x.t") != F.col("y.t"), F.lit(True)))
+        same = (F.col("x.language") == F.col("y.language")) & (F.col("x.h1") == F.col("y.h1")) & (F.col("x.h2") == F.col("y.h2"))
+        j = x.join(y, same & earlier & F.coalesce(F.col("x.t") != F.col("y.t"), F.lit(True)))
         return j.select("x.language", F.col("x.file").alias("left_file"), F.col("y.file").alias("right_file"), (F.col("y.pos") - F.col("x.pos")).alias("shift"), F.col("x.pos").alias("left_start"), F.lit(side).alias("side"))
 
     both = ends("before").union(ends("after"))
     w = Window.partitionBy("language", "left_file", "right_file", "shift").orderBy("left_start", F.col("side").desc())
     runs = both.withColumn("__last", F.lead("left_start").over(w)).where("side = 'before'")
-    runs = runs.select("language", "left_file", "right_file", "shift", "left_start", (F.col("left_start") + F.col("shift")).alias("right_start"), (F.col("__last") - F.col("left_start") + k).alias("tokens"))
-    same = F.col("left_file") == F.col("right_file")
-    return runs.withColumn("tokens", F.when(same, F.least("tokens", "shift")).otherwise(F.col("tokens"))).where(F.col("tokens") >= k)
+    return runs.select("language", "left_file", "right_file", "shift", "left_start", (F.col("left_start") + F.col("shift")).alias("right_start"), (F.col("__last") - F.col("left_start") + k).alias("tokens"))
+
+
+def spans_of(docs: DataFrame, k: int, min_lines: int) -> DataFrame:
+    """(language, tokens, digest, file, start, stop, lines) of the ends of all maximal runs, one row each, by content."""
+    stream = F.sha2(F.array_join(split_tokens(F.col("text")), " "), 256)
+    named = cut(docs.select("file", "language", stream.alias("stream")))
+    copies = named.groupBy("language", "stream").agg(F.min("file").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    reps = cut(docs.join(copies.select(F.col("rep").alias("__rep"), "copies"), F.col("file") == F.col("__rep")).select("file", "language", "text", "copies"))
+    runs = diagonals(kgrams(reps.select("file", "language", "text"), k), k)
+    many = reps.where("copies > 1").select(F.col("file").alias("__f"), F.size(split_tokens(F.col("text"))).cast("long").alias("n"))
+    one = F.col("left_file") == F.col("right_file")
+    # within one file a run is cut to the distance of its ends; between copies of the file it stands as it is
+    cut_short = runs.select("left_file", "right_file", "left_start", "right_start", F.when(one, F.least("tokens", "shift")).otherwise(F.col("tokens")).alias("tokens")).where(F.col("tokens") >= k)
+    across = runs.where(one).join(many.select("__f"), F.col("left_file") == F.col("__f")).select("left_file", "right_file", "left_start", "right_start", "tokens")
+    whole = many.where(F.col("n") >= k).select(F.col("__f").alias("left_file"), F.col("__f").alias("right_file"), F.lit(1).cast("long").alias("left_start"), F.lit(1).cast("long").alias("right_start"), F.col("n").alias("tokens"))
+    pairs = cut_short.union(across).union(whole).withColumn("pair", F.struct("left_file", "right_file", "left_start", "right_start", "tokens"))
+    end = F.explode(F.array(F.struct(F.col("left_file").alias("rep"), F.col("left_start").alias("start")), F.struct(F.col("right_file").alias("rep"), F.col("right_start").alias("start"))))
+    each = cut(pairs.select("pair", "tokens", end.alias("e")).select("pair", "tokens", "e.rep", "e.start"))
+    # lines and content of each distinct end, its file read once
+    ends = each.select("rep", "start", "tokens").distinct().groupBy(F.col("rep").alias("__r")).agg(F.collect_list(F.struct("start", "tokens")).alias("__s"))
+    found = ends.join(reps.select("file", "language", "text"), F.col("__r") == F.col("file")).select("file", "language", "text", "__s")
+
+    def contents(batches):
+        for batch in batches:
+            t = tok.Tokens(*tok.texts(batch.column(2)))
+            lists = batch.column(3)
+            doc = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+            flat = lists.flatten()
+            start, size = (flat.field(c).to_numpy() for c in ("start", "tokens"))
+            a = t.first[doc] + start - 1
+            b = a + size
+            h = [tok.ranges(v, a, b, w) for w, v in enumerate(t.hashes)]
+            rows = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(start), pa.array(size), pa.array([f"{x:016x}{y:016x}" for x, y in zip(*h)], pa.string()), pa.array(t.line[b - 1] - t.line[a] + 1)], names=["rep", "language", "start", "tokens", "digest", "lines"])
+
+    kind = docs.schema["file"].dataType.simpleString()
+    known = cut(found.mapInArrow(contents, f"rep {kind}, language string, start long, tokens long, digest string, lines long"))
+    keys = ["rep", "start", "tokens"]
+    tall = each.join(known, keys).groupBy("pair").agg(F.min("lines").alias("least")).where(F.col("least") >= min_lines).select("pair")
+    kept = each.join(tall, "pair").select(*keys).distinct().join(known, keys)
+    members = named.join(copies, ["language", "stream"]).select("file", F.col("rep").alias("__r"))
+    return kept.join(members, F.col("rep") == F.col("__r")).select("language", "tokens", "digest", "file", "start", (F.col("start") + F.col("tokens")).alias("stop"), "lines")
+
+
+def apart(spans: DataFrame) -> DataFrame:
+    """Without spans that overlap an earlier one of the same content and file that stays."""
+    by = ["language", "digest", "tokens", "file"]
+    # equal lengths: the next to stay is the first that starts a length after the last; a fold over the sorted starts of one file
+    chosen = F.aggregate(F.array_sort(F.collect_list("start")), F.array().cast("array<bigint>"), lambda acc, x: F.when((F.size(acc) == 0) | (F.element_at(acc, -1) + F.col("tokens") <= x), F.array_append(acc, x)).otherwise(acc))
+    return spans.groupBy(*by).agg(F.max("lines").alias("lines"), chosen.alias("starts")).select(*by, "lines", F.explode("starts").alias("start")).withColumn("stop", F.col("start") + F.col("tokens"))
+
+
+def unsubsumed(spans: DataFrame, width: int = 256) -> DataFrame:
+    """Without groups all of whose spans lie within spans of one longer group. Spans meet in buckets of ``width`` tokens of a file."""
+    group = F.struct("language", "digest", "tokens").alias("g")
+    s = spans.select(group, "file", "start", "stop", "tokens")
+    sizes = s.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    outer = s.select(F.col("g").alias("og"), "file", F.col("start").alias("os"), F.col("stop").alias("oe"), F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("stop") / width))).alias("bucket"))
+    inner = s.withColumn("bucket", F.floor(F.col("start") / width))
+    within = inner.join(outer, ["file", "bucket"]).where((F.col("os") <= F.col("start")) & (F.col("oe") >= F.col("stop")) & (F.col("og.tokens") > F.col("tokens")))
+    held = within.groupBy("g", "og").agg(F.count_distinct("file", "start").alias("m")).join(sizes, "g").where("m = n").select(F.col("g").alias("__g")).distinct()
+    return spans.join(held, F.struct("language", "digest", "tokens") == F.col("__g"), "left_anti")
+
+
+def groups(docs: DataFrame, k: int, min_lines: int = 1, max_groups: int | None = None) -> DataFrame:
+    """Clone groups: language, digest, tokens, lines (most of a span), occurrences, files, first_file and first_start, the heaviest (tokens times occurrences) first; then by first_file and digest.
+
+    A group is all places of one content that is a maximal run of some pair; overlapping places of one file count once. ``max_groups`` caps the list, not the search.
+    """
+    spans = apart(spans_of(docs, k, min_lines))
+    sizes = spans.groupBy("language", "digest", "tokens").agg(F.count(F.lit(1)).alias("occurrences")).where("occurrences > 1")
+    live = cut(spans.join(sizes, ["language", "digest", "tokens"]).drop("occurrences"))
+    out = unsubsumed(live).groupBy("language", "digest", "tokens").agg(F.max("lines").alias("lines"), F.count(F.lit(1)).alias("occurrences"), F.count_distinct("file").alias("files"), F.min(F.struct("file", "start")).alias("f"))
+    out = out.select("language", "digest", "tokens", "lines", "occurrences", "files", F.col("f.file").alias("first_file"), F.col("f.start").alias("first_start"))
+    return out if max_groups is None else out.orderBy((F.col("tokens") * F.col("occurrences")).desc(), "first_file", "digest").limit(max_groups)

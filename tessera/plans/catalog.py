@@ -364,14 +364,14 @@ TOKENS_SQL = f"""t AS (SELECT doc_id AS file, lang AS language, regexp_split_to_
 g AS (SELECT file, language, i AS pos, md5(array_to_string(list_slice(t, i, i + {KGRAM - 1}), ' ')) AS digest FROM (SELECT file, language, t, unnest(range(1, len(t) - {KGRAM - 2})) AS i FROM t))"""
 
 
-def grams_of(spark: SparkSession, d: str) -> DataFrame:
-    docs = b.table(spark, d, "documents").select(F.col("doc_id").alias("file"), F.col("lang").alias("language"), "text")
-    return clones.kgrams(docs, F.split(F.regexp_replace("text", r"^\s+|\s+$", ""), r"\s+"), KGRAM)
+def texts_of(spark: SparkSession, d: str) -> DataFrame:
+    return b.table(spark, d, "documents").select(F.col("doc_id").alias("file"), F.col("lang").alias("language"), "text")
 
 
 @query(f"""WITH {TOKENS_SQL} SELECT language, digest, count(*) AS occurrences, count(DISTINCT file) AS files, min({{'file': file, 'pos': pos}}).file AS first_file, min({{'file': file, 'pos': pos}}).pos AS first_pos FROM g GROUP BY language, digest HAVING count(*) > 1""")
 def clone_kgrams(spark: SparkSession, d: str) -> DataFrame:
-    return clones.repeated(grams_of(spark, d))
+    docs = texts_of(spark, d)
+    return clones.repeated(clones.kgrams(docs, KGRAM), docs, KGRAM)
 
 
 @query(f"""WITH {TOKENS_SQL}, c AS (SELECT file, pos, pos + {KGRAM} AS e FROM g WHERE (language, digest) IN (SELECT (language, digest) FROM g GROUP BY language, digest HAVING count(*) > 1)),
@@ -379,14 +379,14 @@ m AS (SELECT *, CASE WHEN pos > max(e) OVER (PARTITION BY file ORDER BY pos ROWS
 i AS (SELECT *, sum(nw) OVER (PARTITION BY file ORDER BY pos) AS island FROM m), u AS (SELECT file, island, max(e) - min(pos) AS len FROM i GROUP BY file, island)
 SELECT file, CAST(sum(len) AS BIGINT) AS mass, count(*) AS islands FROM u GROUP BY file""")
 def clone_totals(spark: SparkSession, d: str) -> DataFrame:
-    c = clones.cloned_windows(grams_of(spark, d)).select("file", "pos", (F.col("pos") + KGRAM).alias("stop"))
+    c = clones.cloned_windows(clones.kgrams(texts_of(spark, d), KGRAM)).select("file", "pos", (F.col("pos") + KGRAM).alias("stop"))
     return clones.union_mass(c, "file", "pos", "stop")
 
 
 @query()
 def clone_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Maximal runs of equal tokens between documents, by size."""
-    return clones.diagonals(grams_of(spark, d), KGRAM)
+    """Groups of places with equal tokens, of at least 40 tokens."""
+    return clones.groups(texts_of(spark, d), KGRAM)
 
 
 ROLES_SQL = f"""{b.SNAPSHOT}, roles AS (SELECT path, size, regexp_replace(path, '/?[^/]*$', '') AS directory, CASE WHEN doc_id % 7 = 3 THEN 'test' WHEN doc_id % 7 IN (0, 6) THEN 'source' END AS role,

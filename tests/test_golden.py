@@ -88,7 +88,7 @@ def test_touching_ranges_merge(spark):
 def test_clone_runs_are_maximal(spark):
     text = " ".join(f"t{k}" for k in range(30))
     docs = spark.createDataFrame([("a", "x", text + " p"), ("b", "x", "q " + text), ("c", "x", "none of it")], "file string, language string, text string")
-    runs = clones.diagonals(clones.kgrams(docs, F.split("text", " "), 10), 10).collect()
+    runs = clones.diagonals(clones.kgrams(docs, 10), 10).collect()
     assert [(r.left_file, r.right_file, r.left_start, r.right_start, r.tokens) for r in runs] == [("a", "b", 1, 2, 30)]
 
 
@@ -106,15 +106,58 @@ def test_clone_runs_between_any_two_files(spark):
                         n = 0
                         while i + n < len(s) and j + n < len(t) and s[i + n] == t[j + n]:
                             n += 1
-                        n = min(n, j - i) if f == h else n
                         if n >= k:
                             want.add((f, h, i + 1, j + 1, n))
     docs = spark.createDataFrame([(f, "x", " ".join(t)) for f, t in texts.items()], "file string, language string, text string")
-    runs = clones.diagonals(clones.kgrams(docs, F.split("text", " "), k), k).collect()
+    runs = clones.diagonals(clones.kgrams(docs, k), k).collect()
     got = [(r.left_file, r.right_file, r.left_start, r.right_start, r.tokens) for r in runs]
     assert ("c", "d", 1, 1, 40) in got and len(got) == len(set(got)) and set(got) == want
 
 
+def clone_groups(texts, k, min_lines):
+    """{(content, places)} by comparing all pairs of places; a token is (word, line)."""
+    pairs = []
+    for f, s in texts.items():
+        for h, t in texts.items():
+            for i in range(len(s)):
+                for j in range(len(t)):
+                    if (f, i) < (h, j) and s[i][0] == t[j][0] and (not i or not j or s[i - 1][0] != t[j - 1][0]):
+                        n = 0
+                        while i + n < len(s) and j + n < len(t) and s[i + n][0] == t[j + n][0]:
+                            n += 1
+                        n = min(n, j - i) if f == h else n
+                        tall = all(w[at + n - 1][1] - w[at][1] + 1 >= min_lines for w, at in ((s, i), (t, j))) if n else False
+                        if n >= k and tall:
+                            pairs.append((tuple(w for w, _ in s[i : i + n]), (f, i), (h, j)))
+    by = {}
+    for content, a, b in pairs:
+        by.setdefault(content, set()).update([a, b])
+    kept = []
+    for content, places in sorted(by.items(), key=lambda x: -len(x[0])):
+        n, some = len(content), []
+        for f, i in sorted(places):
+            if not any(g == f and i < j + n and j < i + n for g, j in some):
+                some.append((f, i))
+        if len(some) > 1 and not any(len(c) > n and all(any(f == g and j <= i and i + n <= j + len(c) for g, j in o) for f, i in some) for c, o in kept):
+            kept.append((content, some))
+    return {(len(c), len(o), len({f for f, _ in o}), o[0][0], o[0][1] + 1) for c, o in kept}
+
+
+@pytest.mark.parametrize("min_lines", [1, 4])
+def test_clone_groups_against_all_pairs(spark, min_lines):
+    rng = random.Random(5)
+    x, y, z = ([f"{c}{k}" for k in range(20)] for c in "xyz")
+    words = {"a": x, "b": y, "c": x + y, "d": x + y, "e": y + y[:15] + x[3:], "f": ["p"] * 29, "g": ["p"] * 17, "h": x + z, "i": x + z, "j": z + z[:9] + x, "k": z + z[:9] + x, "l": ["q"] * 14, "m": ["q"] * 14}
+    words |= {f"r{k}": [rng.choice("uv") for _ in range(30)] for k in range(3)}
+    joined = {f: " ".join(w + ("\n" if k % 5 == 4 else "") for k, w in enumerate(t)) for f, t in words.items()}
+    texts = {f: [(w, n) for n, line in enumerate(t.split("\n")) for w in line.split()] for f, t in joined.items()}
+    docs = spark.createDataFrame([(f, "x", t) for f, t in joined.items()] + [("void", "x", None), ("blank", "x", " \n")], "file string, language string, text string")
+    got = clones.groups(docs, 6, min_lines)
+    assert {(r.tokens, r.occurrences, r.files, r.first_file, r.first_start) for r in got.collect()} == clone_groups(texts, 6, min_lines)
+    assert [r.tokens * r.occurrences for r in clones.groups(docs, 6, min_lines, 3).collect()] == sorted((r.tokens * r.occurrences for r in got.collect()), reverse=True)[:3]
+    assert clones.groups(docs.where("false"), 6).count() == 0
+
+
 def test_stems_match_in_the_directory_first(spark):
     src = spark.createDataFrame([("d/x.py", "d", "x"), ("e/x.py", "e", "x"), ("e/y.py", "e", "y")], "path string, directory string, stem string")
     tst = spark.createDataFrame([("d/test_x.py", "d", "x"), ("f/test_x.py", "f", "x"), ("f/test_y.py", "f", "y")], "path string, directory string, stem string")
