@@ -14,18 +14,23 @@ SCHEMA = "line int, id string, code string, severity string"
 
 
 def record_lines(files: DataFrame) -> DataFrame:
-    """(line, raw, json) of the nonblank lines of a JSONL file held in column ``text``; json is null where a line is not an object."""
-    lines = files.select(F.posexplode(F.split("text", "\r?\n")).alias("p", "raw")).where(r"raw rlike '\\S'")
-    parsed = F.expr("try_parse_json(raw)")
-    return lines.select((F.col("p") + 1).alias("line"), "raw", F.when(F.expr("schema_of_variant(try_parse_json(raw)) like 'OBJECT%'"), parsed).alias("json"))
+    """(line, raw) of the lines of a JSONL file held in column ``text``."""
+    return files.select(F.posexplode(F.split("text", "\r?\n")).alias("p", "raw")).select((F.col("p") + 1).alias("line"), "raw")
+
+
+def parsed(lines: DataFrame) -> DataFrame:
+    """Nonblank ``lines`` (line, raw) with the JSON value of each; json is null where a line is not an object."""
+    some = lines.where(r"raw rlike '\\S'").withColumn("json", F.expr("try_parse_json(raw)"))
+    return some.withColumn("json", F.when(F.expr("schema_of_variant(json) like 'OBJECT%'"), F.col("json")))
 
 
 def records(lines: DataFrame) -> DataFrame:
     """The fields of each parsed line as strings (null unless a JSON string), with agent and time."""
-    get = lambda path: F.expr(f"try_variant_get(json, '$.{path}', 'string')")
-    text = lambda path: F.when(F.expr(f"schema_of_variant(variant_get(json, '$.{path}')) = 'STRING'"), get(path))
-    kept = lines.where("json is not null")
-    return kept.select("line", *(text(f).alias(f) for f in FIELDS), text("agent.kind").alias("agent_kind"), text("agent.id").alias("agent_id"), text("ts").alias("ts"), F.expr("schema_of_variant(variant_get(json, '$.ts'))").alias("ts_type"))
+    ways = [*FIELDS, "agent.kind", "agent.id", "ts"]
+    part = lambda w: F.expr(f"try_variant_get(json, '$.{w}', 'variant')")
+    kept = lines.where("json is not null").select("line", *(part(w).alias(w.replace(".", "_")) for w in ways))
+    text = lambda c: F.when(F.expr(f"schema_of_variant({c}) = 'STRING'"), F.expr(f"try_variant_get({c}, '$', 'string')")).alias(c)
+    return kept.select("line", *(text(w.replace(".", "_")) for w in ways), F.expr("schema_of_variant(ts)").alias("ts_type"))
 
 
 def references(reports: DataFrame, text: str = "text") -> DataFrame:
@@ -68,12 +73,20 @@ def duplicate_ids(r: DataFrame, key: str = "id") -> DataFrame:
     return r.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("records")).where("records > 1")
 
 
-def audit(record_files: DataFrame, report_files: DataFrame) -> DataFrame:
-    """All issues of a bundle, errors and warnings; an empty result is a clean bundle."""
-    lines = record_lines(record_files)
+def required(files: DataFrame, known: DataFrame) -> DataFrame:
+    """Issues of the files a bundle must have: ``known`` (path, content as bytes) against ``files`` (path)."""
+    both = files.select(F.col("path").alias("__p")).join(known, F.col("path") == F.col("__p"), "left")
+    code = F.when(F.col("path").isNull(), "missing_required_file").when(F.octet_length("content") == 0, "empty_required_file").when(F.col("__p").endswith(".md") & ~F.expr("is_valid_utf8(cast(content as string))"), "invalid_report_encoding")
+    return both.select(F.lit(None).cast("int").alias("line"), F.col("__p").alias("id"), code.alias("code"), F.lit("error").alias("severity")).where("code is not null")
+
+
+def audit(lines: DataFrame, reports: DataFrame) -> DataFrame:
+    """All issues of record ``lines`` (line, raw) and of the ``reports`` (text) that cite them, errors and warnings; an empty result is a clean bundle."""
+    lines = parsed(lines)
     r = records(lines)
     bad = lines.where("json is null").select("line", F.lit(None).cast("string").alias("id"), F.lit("invalid_json_record").alias("code"), F.lit("error").alias("severity"))
-    twice = r.join(duplicate_ids(r).select("id"), "id", "left_semi").groupBy("id").agg(F.max("line").alias("line")).select("line", "id", F.lit("duplicate_record_id").alias("code"), F.lit("error").alias("severity"))
-    lost = dangling(references(report_files), r.where("id is not null")).select("line", F.col("ref").alias("id"), F.lit("unknown_report_record").alias("code"), F.lit("error").alias("severity"))
+    first = r.where(_present("id")).groupBy(F.col("id").alias("__id")).agg(F.min("line").alias("__line"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    twice = r.join(first, (F.col("id") == F.col("__id")) & (F.col("line") > F.col("__line"))).select("line", "id", F.lit("duplicate_record_id").alias("code"), F.lit("error").alias("severity"))
+    lost = dangling(references(reports), r.where("id is not null")).select("line", F.col("ref").alias("id"), F.lit("unknown_report_record").alias("code"), F.lit("error").alias("severity"))
     none = r.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit(None).cast("int").alias("line"), F.lit(None).cast("string").alias("id"), F.lit("no_valid_records").alias("code"), F.lit("error").alias("severity"))
     return bad.unionByName(field_issues(r)).unionByName(twice).unionByName(lost).unionByName(none)

@@ -39,3 +39,10 @@ def totals(receipts: DataFrame, by: str, known: list[str], optional: list[str],
 def latest(events: DataFrame, key: str, seq: list[str], values: list[str]) -> DataFrame:
     """The last state of each key by its sequence."""
     return events.groupBy(key).agg(F.max_by(F.struct(*values), F.struct(*seq)).alias("v"), F.count(F.lit(1)).alias("events")).select(key, "events", "v.*")
+
+
+def posterior(prior: DataFrame, updates: DataFrame) -> DataFrame:
+    """(claim, probability, updates): of ``updates`` (claim, seq, probability) the last of each claim stands; claims without one keep their prior."""
+    last = updates.groupBy(F.col("claim").alias("__claim")).agg(F.max_by("probability", "seq").alias("__p"), F.count(F.lit(1)).alias("n"))
+    both = prior.join(last, F.col("claim") == F.col("__claim"), "full_outer")
+    return both.select(F.coalesce("claim", "__claim").alias("claim"), F.coalesce("__p", "probability").alias("probability"), F.coalesce("n", F.lit(0)).alias("updates"))

@@ -547,3 +547,6 @@ def greedy_plan(spark: SparkSession, d: str) -> DataFrame:
     steps, why = planner.greedy_plan(c, p, planner.Budget(4.0, 60.0, 6), "information_per_usd")
     schema = "ordinal int, probe_id string, claim_id string, marginal_information_bits double, marginal_risk_reduction double, cumulative_information_bits double, cumulative_expected_risk_reduction double, cumulative_usd double, cumulative_seconds double, candidate_frontier array<string>, stopped_reason string"
     return spark.createDataFrame([(*s.values(), why) for s in steps], schema)
+
+
+from tessera.plans import ingest as _ingest  # noqa: E402, F401  (registers its queries)
