@@ -8,7 +8,7 @@ A packer works on a seeded random share of about ``docs_per_packer`` documents,
 scale; only ids and lengths are shuffled. Units are runs of visible characters, or whatever integer column is named.
 
 Defined cases: null text counts as empty; a document of no units yields one row with zero units and no window; null ids are packed as
-other rows are; repeated rows are packed each; an empty table gives no rows; other columns are not read.
+other rows are, spread over the packers by the rest of the row; repeated rows are packed each; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -70,10 +70,10 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, docs_per_packer: int = DOCS_
     Windows are numbered within their packer; (packer, window_no) names one. Null for documents of no units.
     """
     length = F.col(units).cast("long") if units else F.regexp_count(F.col("text"), F.lit(r"\S+")).cast("long")
-    rows = docs.select("doc_id", F.greatest(F.coalesce(length, F.lit(0)), F.lit(0)).alias("__len"))
+    rows = docs.select("doc_id", F.greatest(F.coalesce(length, F.lit(0)), F.lit(0)).alias("__len"), F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64(*docs.columns), F.lit(1 << 32))).alias("__v"))
     packers = max(1, docs.select(F.count(F.lit(1))).first()[0] // docs_per_packer)
     order = seeded(seed, F.col("doc_id"))
-    rows = rows.withColumn("__o", order).withColumn("packer", (F.conv(F.substring("__o", 1, 8), 16, 10).cast("long") % packers).cast("int"))
+    rows = rows.withColumn("__o", order).withColumn("packer", (F.coalesce("__v", F.conv(F.substring("__o", 1, 8), 16, 10).cast("long")) % packers).cast("int")).drop("__v")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["__o", "doc_id", "__len"], kind="stable").reset_index(drop=True)
@@ -86,7 +86,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, docs_per_packer: int = DOCS_
         got["doc_id"] = got["doc_id"].astype("Int64")
         return got
 
-    return rows.groupBy("packer").applyInPandas(one, SCHEMA)
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
+    void = rows.where("__len = 0").select("doc_id", F.lit(0).alias("piece"), zero.alias("first_unit"), zero.alias("units"), "packer", none.alias("window_no"), none.alias("window_from"))
+    return rows.where("__len > 0").groupBy("packer").applyInPandas(one, SCHEMA).union(void)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
