@@ -44,6 +44,21 @@ def near(docs, n, threshold):
     return out
 
 
+def classes(docs, n, threshold):
+    """{id: (class, links)} of (id, text)."""
+    sets = [(i, frozenset(grams(t, n))) for i, t in dict.fromkeys(docs) if i is not None]
+    sets = list(dict.fromkeys((i, s) for i, s in sets if s))
+    links, pairs = Counter(), []
+    for x, (i, s) in enumerate(sets):
+        for j, r in sets[:x]:
+            if i == j and s != r or len(s & r) / len(s | r) >= threshold - 1e-12:
+                pairs.append((i, j))
+                if len(s & r) / len(s | r) >= threshold - 1e-12:
+                    links.update([i, j])
+    root = groups(pairs)
+    return {i: (root.get(i, i), links[i]) for i, _ in docs if i is not None}
+
+
 def groups(pairs):
     root = {}
 
@@ -116,15 +131,15 @@ def pack(docs, capacity, seed):
 def toxic(text, grammar):
     """The transducers run side by side over every clause."""
     worst = 0.0
-    for clause in re.split(r"[.!?;:\n]", (text or "").lower()):
+    for clause in re.split(r"[.!?;:\n]", (text or "").lower().replace("’", "'")):
         states, score = [0] * 5, 0.0
         for word in toxicity.TOKEN.findall(clause):
-            symbol, lexical = toxicity.SYMBOLS.get(word, toxicity.OTHER), 0.0
+            symbol, lexical = toxicity.symbol_of(word), 0.0
             if symbol in (toxicity.OTHER, toxicity.INS):
                 lexical = grammar.weight(word)
                 symbol = toxicity.INS if lexical else symbol
             steps = [f(q, symbol) for (f, _), q in zip(toxicity.PARTS, states)]
-            score += lexical * math.prod(s[1] for s in steps) + sum(s[2] for s in steps) * steps[3][1] * steps[4][1]
+            score += lexical * math.prod(s[1] for s in steps) + sum(s[2] for s in steps) * math.prod(s[3] for s in steps)
             states = [s[0] for s in steps]
         worst = max(worst, score)
     return round(worst, 6)
@@ -153,47 +168,61 @@ def coverage(text):
     return out
 
 
-def tree_bits(texts, depth=3):
-    """Code length in bits of each text under the context tree of all of them."""
-    counts = [defaultdict(lambda: [0, 0]) for _ in range(depth + 1)]
-
-    def each(text):
-        data = b"\0" * depth + text.encode()
-        for k in range(depth, len(data)):
-            node = 1
+def tree_bits(texts, first=3, grow=4, share=16):
+    """Code length in bits of each text under the context tree of all of them, and the greatest depth of its contexts."""
+    data = [(t or "").encode() for t in texts]
+    spots = [(d, k) for d in data for k in range(len(d))]
+    ctx = lambda d, k, n: d[max(0, k - n) : k].rjust(n, b"\0")
+    least = max(1, math.ceil(grow * math.sqrt(len(spots))))
+    longer, live, depth = set(), spots, first
+    while live:  # contexts that are extended, depth by depth
+        seen, ahead = Counter(ctx(d, k, depth) for d, k in live), defaultdict(Counter)
+        for d, k in live:
+            ahead[ctx(d, k, depth)][ctx(d, k, depth + 1)[0]] += 1
+        new = {c for c, n in seen.items() if n >= least and n - max(ahead[c].values()) >= max(least, n / share)}
+        longer |= new
+        live = [(d, k) for d, k in live if ctx(d, k, depth) in new]
+        depth += 1
+
+    def path(d, k):
+        out = [ctx(d, k, n) for n in range(first + 1)]
+        while out[-1] in longer:
+            out.append(ctx(d, k, len(out)))
+        return out
+
+    def each(d):
+        for k in range(len(d)):
+            node, contexts = 1, path(d, k)
             for j in range(7, -1, -1):
-                bit = data[k] >> j & 1
-                yield [(data[k - d : k], node) for d in range(depth + 1)], bit
+                bit = d[k] >> j & 1
+                yield [(c, node) for c in contexts], bit
                 node = 2 * node + bit
 
-    for t in texts:
-        for path, bit in each(t or ""):
-            for d, key in enumerate(path):
-                counts[d][key][bit] += 1
+    counts, kids = defaultdict(lambda: [0, 0]), defaultdict(set)
+    for d in data:
+        for way, bit in each(d):
+            for a, b in zip(way, way[1:]):
+                kids[a].add(b)
+            for key in way:
+                counts[key][bit] += 1
     kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
     weighted, own = {}, {}
-    for d in range(depth, -1, -1):
-        below = defaultdict(float)
-        if d < depth:
-            for (ctx, node), v in weighted.items():
-                if len(ctx) == d + 1:
-                    below[ctx[1:], node] += v
-        for key, (a, b) in counts[d].items():
-            pe = kt(a, b)
-            if d == depth:
-                weighted[key], own[key] = pe, 1.0
-            else:
-                top = max(pe, below[key])
-                weighted[key] = math.log(0.5) + top + math.log(math.exp(pe - top) + math.exp(below[key] - top))
-                own[key] = math.exp(pe + math.log(0.5) - weighted[key])
+    for key in sorted(counts, key=lambda x: -len(x[0])):
+        pe = kt(*counts[key])
+        if not kids[key]:
+            weighted[key], own[key] = pe, 1.0
+        else:
+            below = sum(weighted[x] for x in kids[key])
+            top = max(pe, below)
+            weighted[key] = math.log(0.5) + top + math.log(math.exp(pe - top) + math.exp(below - top))
+            own[key] = math.exp(pe + math.log(0.5) - weighted[key])
     out = []
-    for t in texts:
+    for d in data:
         total = 0.0
-        for path, bit in each(t or ""):
+        for way, bit in each(d):
             p, rest = 0.0, 1.0
-            for d, key in enumerate(path):
-                a, b = counts[d][key]
-                p, rest = p + rest * own[key] * ((b if bit else a) + 0.5) / (a + b + 1), rest * (1 - own[key])
+            for key in way:
+                p, rest = p + rest * own[key] * (counts[key][bit] + 0.5) / (sum(counts[key]) + 1), rest * (1 - own[key])
             total -= math.log2(p)
         out.append(total)
-    return out
+    return out, max((len(way[-1][0]) for d in data for way, _ in each(d)), default=0)

@@ -19,6 +19,19 @@ def test_clauses_against_transducers_run_side_by_side(spark, frame):
     assert got[0]["score"] > got[2]["score"] > 0
 
 
+TOXIC = """I will kill you|I'll kill you|We are going to hurt them|He will shoot you|Kill yourself|Go away or I will find and kill you|te voy a matar|te mataré|je vais te tuer|Ich werde dich töten|You're an idiot|You’re an idiot|tu es l'idiot
+no, you idiot|gonna destroy you|he is an idiot's friend, you moron|Well, you are scum|I kill you""".replace("\n", "|").split("|")
+CIVIL = """I did not kill you|I would never hurt you|He said he will kill you|She wrote that they will shoot him|Antibiotics destroy them|The vaccine can kill people|They destroy them with bleach|Smoking will kill you
+You aren't an idiot|You aren’t an idiot|you isn’t an idiot|You are not an idiot|You are never stupid|He called you an idiot|I won't hurt you|no te mataré|I think antibiotics destroy them|Frost must destroy these plants|Don't kill them""".replace("\n", "|").split("|")
+
+
+def test_sentences_judged_by_hand():
+    grammar = toxicity.Grammar({})
+    assert [t for t in TOXIC if grammar.document(t)[0] < toxicity.THRESHOLD] == []
+    assert [t for t in CIVIL if grammar.document(t)[0] >= toxicity.THRESHOLD] == []
+    assert grammar.document("I will kill you")[0] == 5 * grammar.document("I will not kill you")[0] == 2.5 * grammar.document("They said I will kill you")[0] == 2.0
+
+
 def test_toxicity_on_held_out_labels(spark):
     d, lab = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     grammar = toxicity.fit(d, lab.where("doc_id % 2 = 0"))
@@ -73,13 +86,15 @@ def test_repetition_edges(spark, docs, none, texts):
     assert keep[70] and keep[61] and not keep[71]
 
 
-def test_context_tree_against_brute_force(spark):
+@pytest.mark.parametrize("grow,depth", [(0.15, 6), (4, 3)])
+def test_context_tree_against_brute_force(spark, grow, depth):
     rng = random.Random(2)
-    texts = ["abracadabra", "abracadabra", "äöü ß", "", None, "".join(rng.choice("ab c") for _ in range(300)), "\0\0\0"]
+    texts = ["abracadabra", "abracadabra", "äöü ß", "", None, "".join(rng.choice("ab") for _ in range(900)), "\0\0\0", "the cat sat on the mat " * 9]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    want = brute.tree_bits(texts)
+    want, deepest = brute.tree_bits(texts, grow=grow)
+    assert deepest >= depth
     for limit in (10**6, 0):
-        got = {r["doc_id"]: r for r in ctw.context_tree_scores(d, lookup_rows=limit).collect()}
+        got = {r["doc_id"]: r for r in ctw.context_tree_scores(d, lookup_rows=limit, grow=grow).collect()}
         assert len(got) == len(texts)
         for k, t in enumerate(texts):
             size = len((t or "").encode())
@@ -88,6 +103,13 @@ def test_context_tree_against_brute_force(spark):
             assert got[k]["bits_per_byte"] == (pytest.approx(want[k] / size, abs=1e-6) if size else None)
 
 
+def test_contexts_that_are_extended_are_few(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab") for _ in range(500)) for _ in range(40)]
+    growth, counts = ctw.grown(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), grow=0.5)
+    assert len(growth.links) >= 2 and all(len(x) <= 20_000**0.5 / 0.5 for x in growth.links) and len(counts) == len(growth.links) + 1
+
+
 def test_context_tree_edges(spark, docs, none, texts):
     a, b = (sorted((tuple(r) for r in ctw.context_tree_scores(docs, lookup_rows=n).collect()), key=repr) for n in (10**7, 0))
     assert len(a) == len(b) == len(texts)
