@@ -46,54 +46,110 @@ class Growth:
     links: list[np.ndarray] = field(default_factory=list)
     kept: list[np.ndarray] = field(default_factory=list)
 
-    def walk(self, buf: np.ndarray, at: np.ndarray):
-        """For each depth: which of ``at`` come so far (as positions in ``buf``), and the numbers of their contexts, before ``kept`` is asked."""
-        value = before(buf, at, 1) | before(buf, at, 2) << np.uint64(8) | before(buf, at, 3) << np.uint64(16)
-        for k, link in enumerate(self.links):
-            where = np.minimum(np.searchsorted(link, value), max(len(link) - 1, 0))
-            hit = np.flatnonzero(link[where] == value) if len(link) else where[:0]
-            at, number = at[hit], where[hit].astype(np.uint64)
+    def tables(self) -> "Tables":
+        return Tables([Numbers(link, (1 << 24) if k == 0 else len(self.links[k - 1]) << 8) for k, link in enumerate(self.links)], self.kept)
+
+
+class Numbers:
+    """1 + the number of a value in a sorted array, 0 if it is not there; by a table if that is small."""
+
+    def __init__(self, link: np.ndarray, span: int):
+        self.link, self.table = link.astype(np.int64), None
+        if span <= 1 << 24:
+            self.table = np.zeros(span, np.uint16 if len(link) < 65535 else np.uint32)
+            self.table[self.link] = np.arange(1, len(link) + 1)
+
+    def __call__(self, value: np.ndarray) -> np.ndarray:
+        if self.table is not None:
+            return self.table[value]
+        where = np.minimum(np.searchsorted(self.link, value), len(self.link) - 1)
+        return np.where(self.link[where] == value, where + 1, 0)
+
+
+@dataclass
+class Tables:
+    numbers: list[Numbers]
+    kept: list[np.ndarray]
+
+    def walk(self, w: np.ndarray, real: np.ndarray):
+        """For each depth: the positions in ``w`` (padded bytes as 32-bit numbers) whose contexts come so far, and the numbers of those, before ``kept`` is asked."""
+        value = np.zeros(len(w), np.uint32)
+        value[3:] = w[2:-1] | w[1:-2] << np.uint32(8) | w[:-3] << np.uint32(16)
+        at = None
+        for k, numbers in enumerate(self.numbers):
+            found = numbers(value)
+            if at is None:
+                at = np.flatnonzero(found * real)
+                number = found[at].astype(np.int64) - 1
+            else:
+                hit = np.flatnonzero(found)
+                at, number = at[hit], found[hit].astype(np.int64) - 1
             yield at, number
             if k < len(self.kept):
                 on = self.kept[k][number]
                 at, number = at[on], number[on]
-            value = number << np.uint64(8) | before(buf, at, FIRST + 1 + k)
-
-
-def before(buf: np.ndarray, at: np.ndarray, back: int) -> np.ndarray:
-    return buf[at - back].astype(np.uint64)
+            value = number << 8 | w[at - (FIRST + 1 + k)]
 
 
 def padded(data: np.ndarray, offs: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The documents with ``depth`` zeros ahead of each, and where their bytes are."""
+    """The documents with ``depth`` zeros ahead of each, as 32-bit numbers, and which of them are bytes of documents."""
     docs = len(offs) - 1
-    at = np.arange(len(data)) + np.repeat(np.arange(1, docs + 1) * depth, np.diff(offs))
-    buf = np.zeros(len(data) + docs * depth, np.uint8)
-    buf[at] = data
-    return buf, at
+    w, real = np.zeros(len(data) + docs * depth, np.uint32), np.ones(len(data) + docs * depth, bool)
+    real[(offs[:-1] + np.arange(docs) * depth)[:, None] + np.arange(depth)] = False
+    w[real] = data
+    return w, real
 
 
-def level_pairs(data: np.ndarray, offs: np.ndarray, growth: Growth) -> np.ndarray:
+def shortest(w: np.ndarray) -> np.ndarray:
+    """Each byte and the ``FIRST`` before it, as one number."""
+    out = w.copy()
+    for back in range(1, FIRST + 1):
+        out[back:] |= w[:-back] << np.uint32(8 * back)
+    return out
+
+
+def level_pairs(data: np.ndarray, offs: np.ndarray, tables: Tables) -> np.ndarray:
     """For each byte whose context comes as far as the last of ``growth.links``: that context, one byte more of it, and the byte, as one number."""
-    k = len(growth.links)
-    buf, at = padded(data, offs, FIRST + k + 1)
+    k = len(tables.numbers)
+    w, real = padded(data, offs, FIRST + k + 1)
     if not k:
-        return before(buf, at, 0) | before(buf, at, 1) << np.uint64(8) | before(buf, at, 2) << np.uint64(16) | before(buf, at, 3) << np.uint64(24)
-    *_, (at, number) = growth.walk(buf, at)
-    return number << np.uint64(16) | before(buf, at, FIRST + k) << np.uint64(8) | before(buf, at, 0)
+        return shortest(w)[real]
+    *_, (at, number) = tables.walk(w, real)
+    pair = w[at - (FIRST + k)] << np.uint32(8) | w[at]
+    if len(tables.numbers[-1].link) < 65536:
+        return number.astype(np.uint32) << np.uint32(16) | pair
+    return number.astype(np.uint64) << np.uint64(16) | pair
 
 
-def pairs(data: np.ndarray, offs: np.ndarray, growth: Growth) -> np.ndarray:
+def pairs(data: np.ndarray, offs: np.ndarray, tables: Tables) -> np.ndarray:
     """For each byte, its longest context and itself as one number, with the depth beyond ``FIRST`` in the upper eight bits."""
-    buf, at = padded(data, offs, FIRST + len(growth.links) + 1)
-    out = before(buf, at, 0) | before(buf, at, 1) << np.uint64(8) | before(buf, at, 2) << np.uint64(16) | before(buf, at, 3) << np.uint64(24)
-    row = np.zeros(len(buf), np.int64)
-    row[at] = np.arange(len(at))
-    for k, (at, number) in enumerate(growth.walk(buf, at)):
-        on = growth.kept[k][number]
+    w, real = padded(data, offs, FIRST + len(tables.numbers) + 1)
+    out = shortest(w).astype(np.uint64)
+    for k, (at, number) in enumerate(tables.walk(w, real)):
+        on = tables.kept[k][number]
         at, number = at[on], number[on]
-        out[row[at]] = np.uint64(k + 1 << 56) | number << np.uint64(16) | before(buf, at, FIRST + 1 + k) << np.uint64(8) | before(buf, at, 0)
-    return out
+        out[at] = np.uint64(k + 1 << 56) | number.astype(np.uint64) << np.uint64(16) | w[at - (FIRST + 1 + k)] << np.uint32(8) | w[at]
+    return out[real]
+
+
+class Lengths:
+    """Code lengths by pair: hashes in order, with a directory of their upper bits. Every pair asked for is there."""
+
+    def __init__(self, keys: np.ndarray, bits: np.ndarray):
+        h = tk.mix(keys)
+        order = np.argsort(h)
+        self.h, self.bits = h[order], bits[order]
+        self.shift = np.uint64(64 - max(1, int(2 * len(keys)).bit_length()))
+        self.first = np.concatenate([[0], np.cumsum(np.bincount((self.h >> self.shift).astype(np.int64), minlength=1 << int(64 - self.shift)))]).astype(np.int32)
+
+    def __call__(self, pair: np.ndarray) -> np.ndarray:
+        h = tk.mix(pair)
+        at = self.first[(h >> self.shift).astype(np.int64)]
+        wrong = np.flatnonzero(self.h[at] != h)
+        while len(wrong):
+            at[wrong] += 1
+            wrong = wrong[self.h[at[wrong]] != h[wrong]]
+        return self.bits[at]
 
 
 def counted(docs: DataFrame, growth: Growth) -> DataFrame:
@@ -102,6 +158,7 @@ def counted(docs: DataFrame, growth: Growth) -> DataFrame:
 
     def run(batches):
         keys, counts, waiting = [], [], 0
+        tables = held.value.tables()
 
         def merged():
             k, c = np.concatenate(keys), np.concatenate(counts)
@@ -111,8 +168,8 @@ def counted(docs: DataFrame, growth: Growth) -> DataFrame:
         for batch in batches:
             for _, _, data, offs in tk.slices(batch.column(0)):
                 if len(data):
-                    u, c = np.unique(level_pairs(data, offs, held.value), return_counts=True)
-                    keys.append(u)
+                    u, c = np.unique(level_pairs(data, offs, tables), return_counts=True)
+                    keys.append(u.astype(np.uint64))
                     counts.append(c)
                     waiting += len(u)
                     if waiting > 1 << 22:
@@ -138,7 +195,7 @@ def grown(docs: DataFrame, grow: float = GROW, share: int = SHARE) -> tuple[Grow
     least = max(1, math.ceil(grow * math.sqrt(total)))
     context = F.shiftright("key", 8).alias("p")
     seen = counts[0].groupBy(context).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    ready = np.sort(seen.select("p").toArrow().column(0).to_numpy().astype(np.uint64))
+    ready = np.sort(seen.select("p").toArrow().column(0).to_numpy())
     while len(ready):
         growth.links.append(ready)
         counts.append(cut(counted(docs, growth)))
@@ -148,8 +205,8 @@ def grown(docs: DataFrame, grow: float = GROW, share: int = SHARE) -> tuple[Grow
         kept = np.zeros(len(ready), bool)
         kept[above] = True
         growth.kept.append(kept)
-        ready = np.sort(seen.where(F.col("n") >= least).select("p").toArrow().column(0).to_numpy().astype(np.uint64))
-        ready = ready[kept[(ready >> np.uint64(8)).astype(np.int64)]]
+        ready = np.sort(seen.where(F.col("n") >= least).select("p").toArrow().column(0).to_numpy())
+        ready = ready[kept[ready >> 8]]
     if growth.kept and not growth.kept[-1].any():
         growth.links.pop(), growth.kept.pop(), counts.pop()
     return growth, counts
@@ -207,7 +264,7 @@ def code_lengths(growth: Growth, counts: list[DataFrame]) -> DataFrame:
             level = level.withColumn("pw", F.coalesce("__rpw", "pe")).withColumn("own", F.coalesce("__rown", F.lit(1.0))).drop("__rc", "__rn", "__rpw", "__rown")
         leaves.insert(0, cut(level))
         if k:
-            link = spark.createDataFrame(pa.table({"__l": pa.array(np.arange(len(growth.links[k - 1]))), "__rc": pa.array(growth.links[k - 1].astype(np.int64))}))
+            link = spark.createDataFrame(pa.table({"__l": pa.array(np.arange(len(growth.links[k - 1]))), "__rc": pa.array(growth.links[k - 1])}))
             up = parent(leaves[0], F.shiftright("ctx", 8)).join(small(link, len(growth.links[k - 1])), F.col("ctx") == F.col("__l"))
             roots = cut(up.select("__rc", F.col("node").alias("__rn"), F.col("pw").alias("__rpw"), F.col("own").alias("__rown")))
     levels = [leaves[0]]
@@ -225,7 +282,7 @@ def code_lengths(growth: Growth, counts: list[DataFrame]) -> DataFrame:
         out.append(each.groupBy((F.col("key") + F.lit(k << 56 if k < 128 else (k << 56) - (1 << 64))).alias("key")).agg(F.sum(-F.log2(chance)).alias("bits")))
         if k < len(growth.links):
             on = np.flatnonzero(growth.kept[k])
-            link = spark.createDataFrame(pa.table({"__l": pa.array(on), "__p": pa.array(growth.links[k][on].astype(np.int64))}))
+            link = spark.createDataFrame(pa.table({"__l": pa.array(on), "__p": pa.array(growth.links[k][on])}))
             above = above.join(small(link, len(on)), F.col("__c") == F.col("__p")).select(F.col("__l").alias("__c"), "__n", "acc", "rest")
     return reduce(DataFrame.union, out)
 
@@ -236,16 +293,15 @@ def score(docs: DataFrame, growth: Growth, lengths: DataFrame, lookup_rows: int
     if lengths.count() > lookup_rows:
         return _score_joined(texts, growth, lengths)
     got = lengths.toArrow()
-    key, bits = got.column("key").to_numpy().view(np.uint64), got.column("bits").to_numpy()
-    order = np.argsort(key)
-    model = docs.sparkSession.sparkContext.broadcast((growth, key[order], bits[order]))
+    model = docs.sparkSession.sparkContext.broadcast((growth, got.column("key").to_numpy().view(np.uint64), got.column("bits").to_numpy()))
 
     def run(batches):
-        growth, keys, bits = model.value
+        growth, *known = model.value
+        tables, lengths = growth.tables(), Lengths(*known) if len(known[0]) else None
         for batch in batches:
             ids = batch.column(0)
             for lo, hi, data, offs in tk.slices(batch.column(1)):
-                each = bits[np.searchsorted(keys, pairs(data, offs, growth))] if len(data) else np.zeros(0)
+                each = lengths(pairs(data, offs, tables)) if len(data) else np.zeros(0)
                 total, size = tk.spans(offs, each), np.diff(offs)
                 void = size == 0
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo).cast(pa.int64()), pa.array(size), pa.array(total, mask=void), pa.array(total / np.maximum(size, 1), mask=void)], names=["doc_id", "n_bytes", "bits", "bits_per_byte"])
@@ -258,11 +314,12 @@ def _score_joined(texts: DataFrame, growth: Growth, lengths: DataFrame) -> DataF
     held = texts.sparkSession.sparkContext.broadcast(growth)
 
     def run(batches):
+        tables = held.value.tables()
         for batch in batches:
             ids, sigs = batch.column(0).cast(pa.int64()), batch.column(1)
             for lo, hi, data, offs in tk.slices(batch.column(2)):
                 size = np.diff(offs)
-                owner, each = np.repeat(np.arange(hi - lo), size), pairs(data, offs, held.value)
+                owner, each = np.repeat(np.arange(hi - lo), size), pairs(data, offs, tables)
                 order = np.lexsort((each, owner))
                 owner, each = owner[order], each[order]
                 first = np.flatnonzero(np.concatenate([[True], (each[1:] != each[:-1]) | (owner[1:] != owner[:-1])])) if len(each) else np.zeros(0, np.int64)
