@@ -81,10 +81,8 @@ def category(path: Column) -> Column:
 
 def language(path: Column) -> Column:
     """Reporting language by extension; null where it is not supported."""
-    ext, out = ascii_lower(extension(path)), F.lit(None).cast("string")
-    for name, exts in LANGUAGES.items():
-        out = F.when(ext.isin(exts), name).otherwise(out)
-    return out
+    known = F.create_map(*(F.lit(x) for name, exts in LANGUAGES.items() for ext in exts for x in (ext, name)))
+    return known[ascii_lower(extension(path))]
 
 
 def is_test_file(path: Column, lang: Column) -> Column:

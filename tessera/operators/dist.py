@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import ratio
+from tessera.plans.checkpoints import cut
 
 
 def nearest_rank(column: str, p: float) -> Column:
@@ -41,14 +42,24 @@ def entropy(df: DataFrame, weight: str, by: list[str] | None = None) -> DataFram
 
 
 def top_share(df: DataFrame, weight: str, tenths: int = 1) -> DataFrame:
-    """One row, top_share: the part of the mass that the ceil(n/10) largest weights hold; null without mass."""
+    """One row, top_share: the part of the mass that the ceil(n/10) largest weights hold; null without mass.
+
+    Weights fall into buckets, 64 for each doubling, of which there are a few thousand at most; only in the bucket where the quota ends are values ranked.
+    """
     counts = df.groupBy(F.col(weight).alias("__w")).agg(F.count(F.lit(1)).alias("__c"))
-    total = counts.agg(F.sum("__c").alias("__n"), F.sum(F.col("__w") * F.col("__c")).alias("__t"))
-    before = Window.orderBy(F.col("__w").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("__b", F.coalesce(F.sum("__c").over(before), F.lit(0))).crossJoin(F.broadcast(total))
-    quota = F.floor((F.col("__n") * tenths + 9) / 10)
-    taken = F.least(F.col("__c"), F.greatest(F.lit(0), quota - F.col("__b")))
-    return ranked.agg(F.sum(F.col("__w") * taken).alias("__top"), F.max("__t").alias("__t")).select(ratio(F.col("__top"), F.col("__t")).alias("top_share"))
+    counts = cut(counts.withColumn("__g", F.when(F.col("__w") > 0, F.floor(F.log2(F.col("__w").cast("double")) * 64)).otherwise(F.lit(-1 << 40))))
+    groups = counts.groupBy("__g").agg(F.sum("__c").alias("__gc"), F.sum(F.col("__w") * F.col("__c")).alias("__gm"))
+    ahead = lambda key: Window.orderBy(F.col(key).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    groups = groups.withColumns({"__b": F.coalesce(F.sum("__gc").over(ahead("__g")), F.lit(0)), "__quota": F.floor((F.sum("__gc").over(whole) * tenths + 9) / 10), "__t": F.sum("__gm").over(whole)})
+    groups = cut(groups.withColumn("__room", F.greatest(F.lit(0), F.least("__gc", F.col("__quota") - F.col("__b")))))
+    last = groups.where("__room > 0 and __room < __gc").select(F.col("__g").alias("__last"), "__room")
+    inside = counts.join(F.broadcast(last), F.col("__g") == F.col("__last"))
+    taken = F.least(F.col("__c"), F.greatest(F.lit(0), F.col("__room") - F.coalesce(F.sum("__c").over(ahead("__w")), F.lit(0))))
+    part = inside.select((F.col("__w") * taken).alias("__m")).agg(F.sum("__m").alias("__part"))
+    full = groups.agg(F.sum(F.when(F.col("__room") == F.col("__gc"), F.col("__gm"))).alias("__full"), F.max("__t").alias("__t"))
+    zero = F.lit(0)
+    return full.crossJoin(F.broadcast(part)).select(ratio(F.coalesce("__full", zero) + F.coalesce("__part", zero), F.col("__t")).alias("top_share"))
 
 
 def largest(df: DataFrame, weight: str, path: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.paths import CATEGORIES, category, depth, top_level
 from tessera.functions.scalars import ratio, ratio_or_zero
 from tessera.operators import dist
+from tessera.plans.checkpoints import cut
 
 
 def classified(files: DataFrame) -> DataFrame:
@@ -26,12 +27,16 @@ def category_mix(files: DataFrame) -> DataFrame:
 
 def top_level_mass(files: DataFrame) -> DataFrame:
     """Source bytes of each top-level component."""
-    return classified(files).where("category = 'source'").groupBy("component").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("files"))
+    return component_mass(classified(files))
+
+
+def component_mass(c: DataFrame) -> DataFrame:
+    return c.where("category = 'source'").groupBy("component").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("files"))
 
 
 def static_shape(files: DataFrame) -> DataFrame:
     """One row; ratios without a denominator are null, but the generated share is then 0."""
-    c = classified(files)
+    c = cut(classified(files))
     source = c.where("category = 'source'")
     of = lambda k: F.coalesce(F.sum(F.when(F.col("category") == k, F.col("size"))), F.lit(0)).cast("long")
     totals = c.agg(F.count(F.lit(1)).alias("tracked_files"), F.coalesce(F.sum("size"), F.lit(0)).alias("tracked_bytes"), F.max("depth").alias("max_path_depth"), *(of(k).alias(f"__{k}") for k in CATEGORIES))
@@ -41,7 +46,7 @@ def static_shape(files: DataFrame) -> DataFrame:
         F.expr("min_by(path, struct(-size, path))").alias("largest_source_file_path"),
     )
     sizes = dist.entropy(source, "size").withColumnsRenamed({"normalized_entropy": "normalized_source_size_entropy", "effective_count": "effective_source_files"})
-    tops = dist.entropy(top_level_mass(files), "bytes").withColumnsRenamed({"normalized_entropy": "normalized_top_level_source_entropy", "effective_count": "effective_top_level_components"})
+    tops = dist.entropy(component_mass(c), "bytes").withColumnsRenamed({"normalized_entropy": "normalized_top_level_source_entropy", "effective_count": "effective_top_level_components"})
     decile = dist.top_share(source, "size").withColumnRenamed("top_share", "top_decile_source_byte_share")
     out = totals
     for part in (src, sizes, tops, decile):

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from tessera.functions.paths import category, top_level
 from tessera.functions.scalars import choose_two, ratio
 from tessera.operators import dist
+from tessera.plans.checkpoints import cut
 
 
 def merged(raw: DataFrame) -> DataFrame:
-    """One row for each (commit, path): masses add up, flags are or-ed. Partitioned by commit, which later groupings keep."""
-    rows = raw.repartition("commit").groupBy("commit", "path")
+    """One row for each (commit, path): masses add up, flags are or-ed, combined before the shuffle."""
+    rows = raw.groupBy("commit", "path")
     return rows.agg(F.max("ts").alias("ts"), F.sum(F.when(F.col("is_binary"), 0).otherwise(F.col("line_mass"))).cast("long").alias("line_mass"), F.bool_or("is_text").alias("is_text"), F.bool_or("is_binary").alias("is_binary"))
 
 
@@ -36,6 +37,7 @@ def per_commit(files: DataFrame) -> DataFrame:
 
 def summary(files: DataFrame) -> DataFrame:
     """One row of counts, the files-per-commit distribution, and cochange rates."""
+    files = cut(files)
     c = per_commit(files)
     ps = {"p50": 0.5, "p90": 0.9}
     out = c.agg(
@@ -70,7 +72,7 @@ def hotspots(files: DataFrame) -> DataFrame:
 
 def concentration(files: DataFrame) -> DataFrame:
     """Entropy, effective files, top-decile share and largest hotspot of the change mass."""
-    h = hotspots(files)
+    h = cut(hotspots(files))
     e = dist.entropy(h, "mass").withColumnsRenamed({"normalized_entropy": "normalized_change_mass_entropy", "effective_count": "effective_hotspot_files"})
     top = dist.top_share(h, "mass").withColumnRenamed("top_share", "top_decile_change_mass_share")
     big = dist.largest(h, "mass", "path").withColumnsRenamed({"largest": "largest_hotspot_mass", "largest_path": "largest_hotspot_path"})

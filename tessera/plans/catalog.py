@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import paths, scalars
 from tessera.operators import audit, clones, dist, graph, leaves, metrics, planner, receipts, resolve, shape, topology
+from tessera.plans.checkpoints import cut
 from tessera.sources import bindings as b
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,7 +123,7 @@ def static_shape(spark: SparkSession, d: str) -> DataFrame:
 
 
 def profiled(spark: SparkSession, d: str) -> DataFrame:
-    files = files_of(spark, d)
+    files = cut(files_of(spark, d))
     newest = topology.window_of_commits(files, HISTORY_COMMITS).select(F.col("commit").alias("__newest"))
     return topology.profile(b.current_files(spark, d), files.join(F.broadcast(newest), F.col("commit") == F.col("__newest"), "left_semi"))
 
@@ -395,12 +396,11 @@ ROLES_SQL = f"""{b.SNAPSHOT}, roles AS (SELECT path, size, regexp_replace(path,
 
 def roles_of(spark: SparkSession, d: str) -> DataFrame:
     """Source and test files; stems are tens of documents, so that some are unique and some are not."""
-    s = b.snapshot_files(spark, d)
-    lang = paths.language(F.col("path"))
-    test = paths.is_test_file(F.col("path"), lang)
-    stemmed = F.concat(paths.parent(F.col("path")), F.lit("/"), F.floor(F.col("doc_id") / 10).cast("string"), b.suffix(F.col("doc_id")))
-    s = s.where(lang.isNotNull() & ~F.col("path").endswith(".min.js")).withColumn("test", test)
-    return s.select("path", "size", paths.parent(F.col("path")).alias("directory"), F.when(F.col("test"), "test").otherwise("source").alias("role"), paths.canonical_stem(stemmed, F.col("test")).alias("stem"))
+    s = b.snapshot_files(spark, d).withColumns({"lang": paths.language(F.col("path")), "directory": paths.parent(F.col("path"))})
+    # each step is a column of its own: nested in one another they grow beyond what can be compiled
+    s = s.where(F.col("lang").isNotNull() & ~F.col("path").endswith(".min.js")).withColumn("test", paths.is_test_file(F.col("path"), F.col("lang")))
+    s = s.withColumn("stemmed", F.concat("directory", F.lit("/"), F.floor(F.col("doc_id") / 10).cast("string"), b.suffix(F.col("doc_id"))))
+    return s.select("path", "size", "directory", F.when(F.col("test"), "test").otherwise("source").alias("role"), paths.canonical_stem(F.col("stemmed"), F.col("test")).alias("stem"))
 
 
 MATCH_SQL = f"""WITH {ROLES_SQL}, src AS (SELECT * FROM roles WHERE role = 'source'), tst AS (SELECT * FROM roles WHERE role = 'test'),
