@@ -3,7 +3,8 @@
 Word hashes of a whole batch are rolled into n-gram hashes of several lengths, and repeats within a document are found by sorting them.
 ``top_n``: characters of the most frequent repeated n-gram, times its count, over all characters (1 at most). ``dup_n``: characters in the union
 of all n-grams that occur more than once. ``dup_lines``: characters of lines with a word in them that occur more than once. Comparison ignores case.
-A document is kept if every fraction is within its limit.
+A document is kept if every fraction is within its limit, one of the published ones for web pages. A fraction beyond it, but within ``SHORT``, is let pass where it amounts to
+``ALLOWANCE`` characters or fewer: in a short text that is a sentence said twice.
 
 Defined cases: a null or empty text has fractions of 0 and is kept; a document shorter than an n-gram has 0 for it; of equally
 frequent n-grams the longest counts, measured where it first occurs; null ids and repeated rows give a row each; an empty table gives none; other columns are not read.
@@ -19,8 +20,9 @@ from pyspark.sql import functions as F
 from tessera.llm import textkit as tk
 from tessera.llm.tables import table
 
-#: Wider than the published rules for web pages, which also count a sentence said twice in a short text.
-LIMITS = {"top_2": 0.20, "top_3": 0.30, "top_4": 0.35, **dict.fromkeys(["dup_5", "dup_6", "dup_7", "dup_8", "dup_9", "dup_10", "dup_lines"], 0.50)}
+LIMITS = {"top_2": 0.20, "top_3": 0.18, "top_4": 0.16, "dup_5": 0.15, "dup_6": 0.14, "dup_7": 0.13, "dup_8": 0.12, "dup_9": 0.11, "dup_10": 0.10, "dup_lines": 0.30}
+SHORT = {"top_2": 0.20, "top_3": 0.30, "top_4": 0.35, **dict.fromkeys(["dup_5", "dup_6", "dup_7", "dup_8", "dup_9", "dup_10", "dup_lines"], 0.50)}
+ALLOWANCE = 200
 SCHEMA = "doc_id long, n_chars long, " + ", ".join(f"{k} double" for k in LIMITS) + ", keep boolean"
 
 
@@ -84,7 +86,7 @@ def coverage(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def measure(docs: DataFrame, limits: dict[str, float] = LIMITS) -> DataFrame:
+def measure(docs: DataFrame, limits: dict[str, float] = LIMITS, short: dict[str, float] = SHORT, allowance: int = ALLOWANCE) -> DataFrame:
     """doc_id, n_chars, the fractions and keep, for every document."""
 
     def run(batches):
@@ -94,7 +96,7 @@ def measure(docs: DataFrame, limits: dict[str, float] = LIMITS) -> DataFrame:
                 got = coverage(data, offs)
                 keep = np.ones(hi - lo, bool)
                 for k, most in limits.items():
-                    keep &= got[k] <= most
+                    keep &= (got[k] <= most) | (got[k] <= short[k]) & (got[k] * got["n_chars"] <= allowance)
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo).cast(pa.int64()), pa.array(got["n_chars"].astype(np.int64)), *(pa.array(got[k].astype(float)) for k in LIMITS), pa.array(keep)], names=["doc_id", "n_chars", *LIMITS, "keep"])
 
     return docs.select(F.col("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text")).mapInArrow(run, SCHEMA)
