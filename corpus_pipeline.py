@@ -1,4 +1,11 @@
-"""A training-data pipeline of five operators over the documents table; counted as part of the subpackage ``tessera.llm``."""
+"""A training-data pipeline of five operators over the documents table; counted as part of the subpackage ``tessera.llm``.
+
+Each stage but the last returns the columns of its input, whatever they are; the columns read are doc_id and text. Defined cases: rows with a null or empty text pass the
+filters, as nothing speaks against them, and are packed as documents of no units; rows with a null id pass all stages, each by itself, and are never taken for copies;
+rows that repeat an id and text are kept once by the near join, an id with several texts is one document there and goes or stays as a whole; without labels of both
+classes the classifier keeps all, and the toxicity grammar has only its base lists; without benchmark items nothing is contaminated; an empty table gives none.
+What each stage writes lies in a folder of its own under the shared checkpoint folder, which whoever owns that folder clears.
+"""
 
 from __future__ import annotations
 

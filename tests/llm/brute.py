@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 from tessera.llm import toxicity
@@ -145,6 +146,74 @@ def toxic(text, grammar):
     return round(worst, 6)
 
 
+KINDS = {**{c: 0 for c in [*range(33), 127]}, **{c: 1 for c in [*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]}}
+
+
+def fold(values):
+    """The 64-bit finaliser of the hashes, on plain integers."""
+    m = (1 << 64) - 1
+    h = values & m
+    h ^= h >> 31
+    h = h * 0x7FB5D329728EA185 & m
+    h ^= h >> 27
+    h = h * 0x81DADEF4BC2DD44D & m
+    return h ^ h >> 33
+
+
+def quality(text, model, threshold):
+    """(probability, keep): tokens, pooling, network and temperature, value by value."""
+    data, base, rows, shapes, last = text.encode(), 0x9E3779B97F4A7C15 | 1, [], [], None
+    for run in re.findall(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\x00-\x20\x7f]+", data):
+        low = bytes(c + 32 if 65 <= c <= 90 else c for c in run)
+        bucket = fold(sum((c + 1) * pow(base, k, 1 << 64) for k, c in enumerate(low))) % len(model["vectors"])
+        ups, digits = sum(65 <= c <= 90 for c in run), sum(48 <= c <= 57 for c in run)
+        if KINDS.get(run[0], 2) == 2:
+            shape = 1 if len(run) > 1 else 2
+        else:
+            shape = 3 if digits else 4 if ups > 1 and 2 * ups > len(run) else 5 if ups > 1 else 6 if ups else 7 if len(run) > 14 else 0
+        shape = 8 if bucket == last else shape
+        rows.append(model["vectors"][bucket])
+        shapes.append(model["shapes"][shape])
+        last = bucket
+    n = len(rows)
+    if not n:
+        return None, True
+    mean = [sum(float(v[j]) for v in part) / n for part in (rows, shapes) for j in range(len(part[0]))]
+    share = n / (n + 10)
+    z = [((a * share + g * (1 - share)) - m) / s for a, g, m, s in zip(mean, model["good"], model["mean"], model["std"])]
+    hidden = [max(0.0, sum(a * w for a, w in zip(z, model["w1"][:, j])) + model["b1"][j]) for j in range(len(model["b1"]))]
+    logit = (sum(a * w for a, w in zip(hidden, model["w2"])) + model["b2"][0]) / model["temperature"]
+    p = 1 / (1 + math.exp(-max(-60, min(60, logit))))
+    return p, p >= threshold
+
+
+def stems(toxic, clean):
+    """The induction, each count made anew from the documents."""
+    starts = lambda w: {w[:k] for k in range(toxicity.SHORTEST, min(len(w), toxicity.LONGEST) + 1)}
+    toxic = [d for d in toxic if not d & set(toxicity.INSULT)]
+    seen = set().union(*clean)
+    holds = lambda p, d: any(p in starts(w) for w in d)
+    every = {p for d in toxic for w in d - seen for p in starts(w)}
+    where = {p: {i for i, d in enumerate(toxic) if holds(p, d - seen)} for p in every}
+    where = {p: s for p, s in where.items() if len(s) >= toxicity.SUPPORT}
+    wrong = {p: sum(holds(p, d) for d in clean) for p in where}
+    left, out = set(range(len(toxic))), {}
+    open_ = {p for p in where if wrong[p] <= 0.01 * len(where[p]) and p not in toxicity.SYMBOLS}
+    while open_:
+        best = max(open_, key=lambda p: (len(where[p] & left), len(p), p))
+        if len(where[best] & left) < toxicity.SUPPORT:
+            break
+        out[best] = round(max(0.0, min(2.0, math.log2((len(where[best]) + 0.5) / (wrong[best] + 0.5)) / 2)), 6)
+        left -= where[best]
+        open_ = {p for p in open_ - {best} if len(where[p] & left) >= toxicity.SUPPORT}
+    least = [min(d, key=lambda w: zlib.crc32(w.encode()), default="") for d in toxic]
+    apart = {p: len({least[i] for i in s}) for p, s in where.items() if not wrong[p] and len(s) >= toxicity.FREQUENT and p not in toxicity.SYMBOLS}
+    for p in sorted(apart, key=lambda p: (-apart[p], -len(p), p)):
+        if apart[p] >= toxicity.FREQUENT and not any(p.startswith(q) or q.startswith(p) for q in out):
+            out[max((q for q in apart if q.startswith(p) and apart[q] >= 0.8 * apart[p]), key=lambda q: (len(q), q))] = 1.0
+    return out
+
+
 def coverage(text):
     text = (text or "").lower()
     spans = [(m.start(), m.end()) for m in re.finditer(r"[0-9a-z\x80-\U0010ffff]+", text)]

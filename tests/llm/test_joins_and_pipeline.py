@@ -130,3 +130,14 @@ def test_pipeline_stages_take_messy_and_empty_tables(spark, docs, none):
             assert name == "packing" or after.columns == start.columns
             after.count()
             at = after
+
+
+def test_pipeline_without_labels_or_benchmark(spark, docs, texts, tmp_path):
+    for name, schema in (("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    at, kept = docs, []
+    for name, stage in corpus_pipeline.STAGES:
+        at = stage(spark, at, str(tmp_path))
+        kept.append(at.count())
+    assert kept[0] == kept[1] == len(texts) > kept[2] == kept[3]
+    assert {r["doc_id"] for r in at.collect()} <= {i for i, _ in texts}

@@ -58,6 +58,26 @@ def test_quality_on_held_out_labels(spark):
     assert spread < 0.1  # calibrated on the whole
 
 
+def test_quality_against_brute_force(spark, docs, texts):
+    lab = spark.createDataFrame([(k, 1) for k in range(8)] + [(71, 0), (72, 0), (40, 0), (41, 0)], "doc_id long, quality int")
+    model = quality.fit(docs, lab)
+    seen = {}
+    for r in quality.score(docs, model).collect():
+        seen.setdefault(r["doc_id"], []).append((r["p_quality"], r["keep"]))
+    for i in seen:
+        want = sorted((brute.quality(t or "", model, quality.THRESHOLD) for j, t in texts if j == i), key=repr)
+        for (p, k), (wp, wk) in zip(sorted(seen[i], key=repr), want):
+            assert k == wk and (p is wp is None or p == pytest.approx(wp, abs=1e-4)), i
+
+
+def test_stems_against_brute_force():
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randrange(3, 9)))
+    toxic = [frozenset([word() for _ in range(6)] + [rng.choice(["blargish", "blargs", "zortly"])]) for _ in range(60)] + [frozenset(["idiot", "blarg"])] * 5
+    clean = [frozenset(word() for _ in range(9)) for _ in range(80)]
+    assert toxicity.induce(toxic, clean) == brute.stems(toxic, clean)
+
+
 def test_quality_edges(spark, docs, none, texts):
     lab = spark.createDataFrame([(0, 1), (1, 1), (None, 0), (3, None)], "doc_id long, quality int")
     got = quality.classify(docs, lab).collect()
@@ -76,7 +96,8 @@ def test_repetition_against_brute_force(spark, docs, texts):
     for r in repetition.measure(d).collect():
         want = brute.coverage(some[r["doc_id"]][1])
         assert {k: round(r[k], 9) for k in want} == {k: round(v, 9) for k, v in want.items()}, some[r["doc_id"]]
-        assert r["keep"] == all(want[k] <= repetition.LIMITS[k] for k in want)
+        size = len(some[r["doc_id"]][1] or "")
+        assert r["keep"] == all(want[k] <= repetition.LIMITS[k] or want[k] <= repetition.SHORT[k] and want[k] * size <= repetition.ALLOWANCE for k in want)
 
 
 def test_repetition_edges(spark, docs, none, texts):
