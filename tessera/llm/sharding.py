@@ -17,16 +17,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.tables import seeded, small, table
+from tessera.plans.checkpoints import cut
 
 SHARDS, SEED, SLOTS = 64, 20240229, 4096
 
 
 def ranked(df: DataFrame, by: list[str], slot: Column, order: list[Column], name: str) -> DataFrame:
-    """``df`` with column ``name``: the 1-based place of each row within its ``by`` group, ordered by slot and then ``order``."""
-    df = df.withColumn("__slot", slot)
+    """``df`` with column ``name``: the 1-based place of each row within its ``by`` group, ordered by slot and then ``order``, and the group's size in __size.
+
+    ``df`` is evaluated once and cut."""
+    df = cut(df.withColumn("__slot", slot))
     counts = df.groupBy(*by, "__slot").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(*(F.col(b).alias(f"__k{i}") for i, b in enumerate(by)), F.col("__slot").alias("__ks"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    all_ = Window.partitionBy(*(by or [F.lit(0)]))
+    counts = cut(counts.select(*(F.col(b).alias(f"__k{i}") for i, b in enumerate(by)), F.col("__slot").alias("__ks"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"), F.sum("__n").over(all_).alias("__size")))
     on = F.col("__slot").eqNullSafe(F.col("__ks"))
     for i, b in enumerate(by):
         on = on & F.col(b).eqNullSafe(F.col(f"__k{i}"))
@@ -39,15 +43,12 @@ def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, slots: i
     """doc_id, source, source_rank, source_size, fraction, position and shard (0 to shards-1) of every row."""
     rows = docs.select("doc_id", "source").withColumn("__h", seeded(seed, F.col("source"), F.col("doc_id")))
     key = F.conv(F.substring("__h", 1, 8), 16, 10).cast("long")
-    sizes = rows.groupBy("source").agg(F.count(F.lit(1)).alias("source_size"))
-    sizes = small(sizes.withColumnRenamed("source", "__s"))
     rows = ranked(rows, ["source"], F.floor(key * slots / F.lit(1 << 32)).cast("int"), [F.col("__h"), F.col("doc_id").asc_nulls_first()], "source_rank")
-    rows = rows.join(sizes, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
+    rows = rows.withColumnRenamed("__size", "source_size")
     rows = rows.withColumn("fraction", (2 * F.col("source_rank") - 1) / (2 * F.col("source_size")))
     rows = ranked(rows, [], F.floor(F.col("fraction") * slots).cast("int"), [F.col("fraction"), F.col("source").asc_nulls_first(), F.col("source_rank")], "position")
-    total = docs.agg(F.count(F.lit(1)).alias("__total"))
-    shard = F.expr(f"((position - 1) * {shards}) div __total")
-    return rows.crossJoin(F.broadcast(total)).select("doc_id", "source", F.col("source_rank").cast("long").alias("source_rank"), "source_size", "fraction", F.col("position").cast("long").alias("position"), shard.cast("int").alias("shard"))
+    shard = F.expr(f"((position - 1) * {shards}) div __size")
+    return rows.select("doc_id", "source", F.col("source_rank").cast("long").alias("source_rank"), "source_size", "fraction", F.col("position").cast("long").alias("position"), shard.cast("int").alias("shard"))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
