@@ -16,13 +16,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.tables import small, table
+from tessera.plans.checkpoints import cut
 
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#@]*\]|[^/?#:@\[\]]+)"
 LISTS = ("adult", "malware", "spam")
 
 
 def host(url: str = "url") -> Column:
-    found = F.lower(F.regexp_extract(url, HOST, 1))
+    """Lower-cased, without the dot that may end it; an IPv6 address keeps its brackets."""
+    found = F.rtrim(F.lower(F.regexp_extract(url, HOST, 1)), F.lit("."))
     return F.when(found != "", found)
 
 
@@ -41,11 +43,12 @@ def filter_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     hosts = rows.select(F.col("host").alias("__host")).where("__host is not null").distinct()
     labels = F.split("__host", r"\.")
     suffixes = hosts.select("__host", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("__p"))
-    known = intervals(entries).withColumnRenamed("pattern", "__pattern")
+    known = cut(intervals(entries).withColumnRenamed("pattern", "__pattern"))
     active = suffixes.join(small(known), F.col("__p") == F.col("__pattern"))
     held = F.struct((-F.length("__pattern")).alias("rank"), F.col("list_name").alias("list_name"), (-F.col("valid_from")).alias("since"), F.col("__pattern").alias("pattern"), F.col("valid_from").alias("valid_from"), F.col("valid_to").alias("valid_to"))
-    active = active.groupBy("__host").agg(F.array_sort(F.collect_list(held)).alias("__held"))
-    found = rows.join(small(active), F.col("host") == F.col("__host"), "left")
+    # as long as the entries of a host and its parents
+    active = cut(active.groupBy("__host").agg(F.array_sort(F.collect_list(held)).alias("__held")))
+    found = rows.join(small(active, active.agg(F.sum(F.size("__held"))).first()[0] or 0), F.col("host") == F.col("__host"), "left")
     hit = F.get(F.filter("__held", lambda x: (x["valid_from"] <= F.col("fetched_at")) & (x["valid_to"].isNull() | (F.col("fetched_at") < x["valid_to"]))), F.lit(0))
     found = found.withColumn("__hit", hit)
     return found.select("page_id", "host", "fetched_at", F.col("__hit").isNotNull().alias("blocked"), F.col("__hit.list_name").alias("list_name"), F.col("__hit.pattern").alias("pattern"), F.col("__hit.valid_from").alias("valid_from"))
@@ -63,7 +66,7 @@ def fetched(pages: DataFrame) -> DataFrame:
 def dated_entries(pages: DataFrame) -> DataFrame:
     """A block list over the hosts of ``pages`` and their parent domains: added, mostly removed, some added again, on days from a digest."""
     hosts = pages.select(host().alias("h")).where("h is not null").distinct()
-    labels = F.split("h", r"\.")
+    labels, hosts = F.split("h", r"\."), cut(hosts)
     both = hosts.select("h").union(hosts.select(F.array_join(F.slice(labels, 2, F.size(labels)), ".").alias("h"))).where("instr(h, '.') > 0").distinct()
     both = both.withColumn("n", number(F.col("h"), 1)).where("n % 3 < 2").withColumn("list_name", F.element_at(F.array(*map(F.lit, LISTS)), (F.col("n") % 3 + 1).cast("int")))
     first, second, third = number(F.col("h"), 5) % 700, number(F.col("h"), 9) % 400 + 30, number(F.col("h"), 13) % 400 + 30
@@ -76,8 +79,8 @@ def op10_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_captures(fetched(pages), dated_entries(pages))
 
 
-SQL = """
-WITH c AS (SELECT page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '') AS host,
+SQL = r"""
+WITH c AS (SELECT page_id, nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#@]*\]|[^/?#:@\[\]]+)', 1)), '.'), '') AS host,
   CAST(('0x' || substr(md5('fetch:' || CAST(page_id AS VARCHAR)), 1, 4)) AS BIGINT) % 1500 AS fetched_at FROM pages),
 hosts AS (SELECT DISTINCT host AS h FROM c WHERE host IS NOT NULL),
 listed AS (SELECT DISTINCT h FROM (SELECT h FROM hosts UNION ALL SELECT substr(h, strpos(h, '.') + 1) FROM hosts WHERE strpos(h, '.') > 0) WHERE strpos(h, '.') > 0),
