@@ -1,13 +1,21 @@
 """Parsers and inventories on texts written by hand."""
 
+import hashlib
+import io
+import json
 import subprocess
+import sys
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.__main__ import main
 from tessera.functions import inventories, lexer, render
-from tessera.operators import audit, clones, receipts
-from tessera.sources import code, git, manifests
+from tessera.operators import audit, clones, kernel, receipts
+from tessera.plans import bundle
+from tessera.sources import archive, code, git, manifests
+from tessera.streaming import jobs
 
 RUST = """//! top
 use std::{fs, io};
@@ -134,7 +142,8 @@ def test_broken_log_records_are_rows(spark):
     h = "a" * 40
     rows = [f"{h}\x005\x00\n2\t3\tsrc/m.rs\n-\t-\tsrc/m.rs\n", f"{h[:-1]}b\x006\x00\n", f"{h}\x00x\x00\n", "zz\x001\x00\n", f"{h}\x007\x00\n1\tsrc/x\n", f"{h}\x008\x00\n-\t1\tsrc/x\n", f'{h}\x009\x00\n1\t1\t"x\n', " \n"]
     got = {(r.ts, r.path, r.line_mass, r.is_text, r.is_binary, r.error) for r in git.parse_log(spark.createDataFrame([(x,) for x in rows], "value string")).collect()}
-    assert (5, "src/m.rs", 5, True, True, None) in got and {r[5] for r in got if r[0] is None or r[0] > 6} == {"timestamp", "object id", "numstat", "path"} - ({"object id"} if (1, None, None, None, None, "object id") in got else set())
+    assert (5, "src/m.rs", 5, True, True, None) in got
+    assert {(r[0], r[5]) for r in got if r[5]} == {(None, "timestamp"), (1, "object id"), (7, "numstat"), (8, "numstat"), (9, "path")}
 
 
 def test_repository(spark, tmp_path):
@@ -177,3 +186,75 @@ def test_rendering(spark):
     assert sorted(r.value for r in render.json_lines(d.limit(2)).collect())[1] == '{"name":"c","n":50,"v":null}'
     p = receipts.posterior(spark.createDataFrame([("x", 0.5), ("y", 0.1)], "claim string, probability double"), spark.createDataFrame([("x", 1, 0.6), ("x", 2, 0.7), ("z", 1, 0.2)], "claim string, seq int, probability double"))
     assert {tuple(r) for r in p.collect()} == {("x", 0.7, 2), ("y", 0.1, 0), ("z", 0.2, 1)}
+
+
+def test_kernel_stops_within_its_budget(spark):
+    ok = lambda o, u=None, usd=0.0: lambda artifact: (o, u or {}, usd)
+    a, b = kernel.Program("a", "1", "c", ok({"x": 1}, {"q": 0.9}, 2.0)), kernel.Program("b", "1", "c", ok({"y": 2}))
+    run = kernel.evaluate(None, [a, b], {"q": 0.5}, kernel.Resources(5.0, 10**6, 5))
+    assert (run.stopped_reason, run.beliefs, run.remaining.usd, run.remaining.programs, len(run.digests)) == ("complete", {"q": 0.9}, 3.0, 3, 2)
+    reasons = lambda some, **budget: kernel.evaluate(None, some, {"q": 0.5}, kernel.Resources(**{"usd": 5.0, "wall_time_ms": 10**6, "programs": 5} | budget)).stopped_reason
+    assert reasons([a, b], usd=1.0) == reasons([a, b], usd=2.0) == "budget_exhausted" and reasons([a, b], programs=1) == "program_limit" and reasons([a], usd=2.0) == "complete"
+    assert reasons([kernel.Program("n", "1", "c", ok(1), applies=lambda x: ("unsupported", "no")), a]) == "unsupported"
+    assert reasons([kernel.Program("n", "1", "c", ok(1), estimate=kernel.Resources(usd=9.0))]) == "budget_exhausted"
+    assert reasons([kernel.Program("n", "1", "c", ok(1, {"unknown": 0.1}))]) == reasons([kernel.Program("n", "1", "c", lambda x: 1 / 0)]) == "failed"
+    other = kernel.evaluate(None, [a, kernel.Program("b", "2", "c", ok({"y": 2})), b], {"q": 0.5}, kernel.Resources(5.0, 10**6, 5))
+    rows = {r.step: (r.mismatch, r.left, r.right) for r in kernel.zipped(run.frame(spark), other.frame(spark)).collect()}
+    assert rows == {0: (None, None, None), 1: ("version", "1", "2"), 2: ("step", None, None)}
+    assert [kernel.elapsed_ms(n) for n in (0, 1, 1_999_999, 2_000_000)] == [0, 1, 1, 2]
+    key = spark.range(1).select(kernel.cache_key(F.lit(7), F.lit("abc"), "v1")).first()[0]
+    assert key == hashlib.sha256(b"7:abc:v1").hexdigest() + ".json"
+
+
+def test_archives(spark):
+    def pack(*files):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, content in files:
+                z.writestr(zipfile.ZipInfo(name), content)
+        return bytearray(out.getvalue())
+
+    link = zipfile.ZipInfo("r/l")
+    link.external_attr = 0o120777 << 16
+    bad = io.BytesIO()
+    with zipfile.ZipFile(bad, "w") as z:
+        z.writestr(link, "x")
+    rows = {"good": pack(("r/a.py", "x = 1\n"), ("r/d/", ""), ("r/d/b.md", "")), "roots": pack(("r/a", ""), ("s/a", "")), "up": pack(("r/../a", "")), "abs": pack(("/a", "")), "none": bytearray(b"PK"), "link": bytearray(bad.getvalue()), "big": pack(("r/a", "x" * 50)), "void": pack()}
+    got = archive.extracted(spark.createDataFrame(list(rows.items()), "path string, content binary"), archive.Limits(file_bytes=40)).collect()
+    assert {(r.archive, r.path) for r in got if r.error is None} == {("good", "a.py"), ("good", "d/b.md")}
+    assert {r.archive: r.error for r in got if r.error} == {"roots": "multiple_roots", "up": "unsafe_path", "abs": "unsafe_path", "none": "malformed", "link": "unsupported_entry", "big": "too_large", "void": "malformed"}
+
+
+def test_process_receipts(spark, tmp_path):
+    got = archive.receipts(spark, [sys.executable, "-c", "print('x'); raise SystemExit(3)"], str(tmp_path), 2).collect()
+    assert [(r.ordinal, r.started, r.exit_code, r.success, bytes(r.stdout)) for r in got] == [(0, True, 3, False, b"x\n"), (1, True, 3, False, b"x\n")]
+    assert archive.run_once(["sleep", "9"], str(tmp_path), 0, 200).timed_out and not archive.run_once(["/no/such"], str(tmp_path), 0, 200).started
+
+
+def test_bundle_of_instruments_and_command_line(spark, tmp_path, capsys):
+    (tmp_path / "a.py").write_text(PYTHON)
+    (tmp_path / "b.go").write_text(GO)
+    (tmp_path / "package.json").write_text('{"dependencies": {"x": "*"}}')
+    files = code.discover(spark, str(tmp_path))
+    got = {r.instrument: (r.state, r.observations) for r in bundle.analyze(spark, files, bundle.INSTRUMENTS | {"broken": lambda f, s: 1 / 0}).collect()}
+    assert got.pop("broken") == ("failed", None) and all(s == "complete" for s, _ in got.values()) and len(got) == 5
+    assert json.loads(got["api"][1])["symbols"] == 8 and json.loads(got["tests"][1]) == {"cases": 3, "ignored": 2, "assertions": 3} and json.loads(got["dependencies"][1])["manifest_dependencies"] == 1
+    assert main(["query", "nothing", "x"], spark) == 2 and main(["audit", str(tmp_path)], spark) == 1
+    assert "missing_required_file" in capsys.readouterr().out
+    assert main(["query", "category_mix", "/root/testdata/sf0.001", "--top", "3"], spark) == 0 and capsys.readouterr().out.startswith("category_mix")
+
+
+def test_job_streams(spark, tmp_path):
+    def drain(df, mode, name):
+        q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / f"c{name}")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return spark.table(name).collect()
+
+    rows = [("k", "a", 1, "requested", "2024-01-01 00:00:00"), ("k", "b", 2, "requested", "2024-01-01 00:05:00"), ("k", "a", 3, "complete", "2024-01-01 00:10:00"), ("k", "c", 4, "requested", "2024-01-01 02:00:00"), ("m", "d", 5, "requested", "2024-01-01 05:00:00")]
+    schema = "key string, analysis_id string, seq int, state string, ts timestamp"
+    spark.createDataFrame(rows, "key string, analysis_id string, seq int, state string, ts string").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    assert {(r.request, r.analysis_id, r.joined) for r in drain(jobs.admissions(stream()), "append", "adm")} == {("a", "a", False), ("b", "a", True), ("c", "c", False), ("d", "d", False)}
+    latest = {r.analysis_id: (r.events, r.state) for r in drain(jobs.latest_states(stream()), "complete", "lat")}
+    assert latest == {"a": (2, "complete"), "b": (1, "requested"), "c": (1, "requested"), "d": (1, "requested")} == {r.analysis_id: (r.events, r.state) for r in jobs.latest_states(spark.read.parquet(str(tmp_path / "in"))).collect()}
+    assert {(r.begins.hour, r.state, r.events) for r in drain(jobs.entered(stream()), "append", "ent")} == {(0, "requested", 2), (0, "complete", 1), (2, "requested", 1)}
