@@ -134,6 +134,7 @@ def valid_repo(repo: Column) -> Column:
 
 
 def cache_key(repository_id: Column, commit: Column, bundle: Column) -> Column:
+    """The file name under which the results of a bundle for one commit are kept."""
     return F.concat(F.sha2(F.concat_ws(":", repository_id.cast("string"), commit, bundle), 256), F.lit(".json"))
 
 
@@ -143,8 +144,9 @@ def log_scale(value: Column, largest: Column, extent: float) -> Column:
 
 
 def exact_double(x: Column) -> Column:
-    """Whether an integer survives a round trip through a double."""
-    return x.cast("double").cast("decimal(38,0)") == x.cast("decimal(38,0)")
+    """Whether a whole number survives a round trip through a double; one beyond 64 bits does not. (A cast of a double to a decimal would go through its shortest text.)"""
+    whole = x.try_cast("long")
+    return F.coalesce(whole.cast("double").try_cast("long") == whole, F.lit(False))
 
 
 def plausible_rfc3339(ts: Column) -> Column:

@@ -42,6 +42,20 @@ def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8)[offs[0] : offs[-1]] if data is not None else np.zeros(0, np.uint8)), offs - offs[0]
 
 
+def fnv1a(column) -> np.ndarray:
+    """FNV-1a, 64 bits, of each text of a column or list; the longest text sets the number of steps."""
+    data, offs = texts(pa.array(column, pa.string()) if isinstance(column, list) else column)
+    size = np.diff(offs)
+    order = np.argsort(-size, kind="stable")
+    out, begin, size = np.full(len(order), 0xCBF29CE484222325, U64), offs[:-1][order], size[order]
+    for k in range(int(size[0]) if len(size) else 0):
+        live = int(np.searchsorted(-size, -k))
+        out[:live] = (out[:live] ^ data[begin[:live] + k]) * U64(0x100000001B3)
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
 class Tokens:
     """The tokens of some texts: ``doc``, ``line`` (from 1) and two 64-bit hashes of each, and where each document's begin (``first``)."""
 

@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import render
-from tessera.operators import audit, receipts, topology
+from tessera.functions import paths, render, scalars
+from tessera.operators import audit, receipts, resolve, topology
 from tessera.plans.catalog import query, r6, rounded
 from tessera.sources import bindings as b
 from tessera.sources import code, git, manifests
@@ -177,3 +177,47 @@ def receipts_for_people(spark: SparkSession, d: str) -> DataFrame:
     e = b.table(spark, d, "events")
     ns: Column = F.col("event_id") * F.col("event_id") * 1954 + 1
     return e.select("event_id", render.duration(ns).alias("elapsed"), render.bounded(F.col("props"), 12).alias("shown"))
+
+
+@query(r"""SELECT doc_id, CAST(length(text) - length(replace(text, chr(10), '')) + (CASE WHEN text <> '' AND NOT ends_with(text, chr(10)) THEN 1 ELSE 0 END) AS BIGINT) AS lines, lower(hex(source)) AS source_hex, sha256(text) AS digest, CAST(length(regexp_replace(text, '\s', '', 'g')) AS INTEGER) AS visible,
+  regexp_replace('"' || lang || '`', '^["''`]+|["''`]+$', '', 'g') AS unquoted, regexp_matches(text, '^\p{Lu}') AS capital, regexp_matches(source, '^[\p{L}\p{N}_$]+$') AS simple, regexp_matches('Test' || source, '^(Test|Benchmark|Example)(\P{Ll}.*)?$') AS go_case, lower(lang || '/' || source) AS identity,
+  regexp_matches(source, '^[A-Za-z0-9]([A-Za-z0-9-]{0,37}[A-Za-z0-9])?$') AND source NOT LIKE '%--%' AS owner, regexp_matches(source, '^[A-Za-z0-9._-]{1,100}$') AND source NOT IN ('.', '..') AS repo, sha256(CAST(doc_id AS VARCHAR) || ':' || md5(text) || ':v1') || '.json' AS cache,
+  lower(hex(unhex(lpad(hex(strlen(source)), 16, '0')))) || lower(hex(source)) AS prefixed FROM documents""")
+def text_functions(spark: SparkSession, d: str) -> DataFrame:
+    """The text expressions over every document."""
+    t, s = F.col("text"), F.col("source")
+    return b.table(spark, d, "documents").select(
+        "doc_id", scalars.line_count(t).alias("lines"), scalars.hex_lower(s).alias("source_hex"), scalars.sha256_hex(t).alias("digest"), F.length(scalars.compact(t)).alias("visible"), scalars.strip_quotes(F.concat(F.lit('"'), F.col("lang"), F.lit("`"))).alias("unquoted"),
+        scalars.starts_uppercase(t).alias("capital"), scalars.simple_name(s).alias("simple"), scalars.go_case_name(F.concat(F.lit("Test"), s)).alias("go_case"), scalars.identity_key(F.col("lang"), s).alias("identity"), scalars.valid_owner(s).alias("owner"), scalars.valid_repo(s).alias("repo"),
+        scalars.cache_key(F.col("doc_id"), F.md5(t), F.lit("v1")).alias("cache"), scalars.hex_lower(scalars.length_prefixed(s)).alias("prefixed"),
+    )
+
+
+@query(f"""SELECT o_orderkey, CAST(floor(epoch(o_orderdate) / 86400) AS BIGINT) AS day, {r6("least(1.0, greatest(0.0, o_totalprice / 1e6))")} AS unit, {r6("greatest(o_totalprice - 1000, 0)")} AS kept, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END AS finite,
+  {r6("ln(1 + o_totalprice) * 480 / ln(1 + 600000)")} AS place, CAST(CAST(o_orderkey * 4503599627370497 AS DOUBLE) AS HUGEINT) = CAST(o_orderkey * 4503599627370497 AS HUGEINT) AS exact, CASE WHEN regexp_matches(o_orderpriority, '^[0-9]+$') THEN 1 ELSE 0 END + CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey AS BIGINT) ELSE 0 END AS parsed FROM orders""")
+def number_functions(spark: SparkSession, d: str) -> DataFrame:
+    """The number expressions over every order."""
+    o, price, key = b.table(spark, d, "orders"), F.col("o_totalprice"), F.col("o_orderkey")
+    lost = F.when(key % 6 == 0, F.lit(float("nan"))).when(key % 3 == 0, F.lit(float("inf"))).otherwise(price)
+    read = F.coalesce(scalars.ascii_u64(F.when(key % 2 == 0, key.cast("string")).otherwise("x")), F.lit(0)).cast("long")
+    return o.select(
+        key, scalars.utc_day(b.seconds("o_orderdate")).alias("day"), F.round(scalars.unit_clamp(price / 1e6), 6).alias("unit"), F.round(F.when(price >= 1000, scalars.nonnegative(F.greatest(price - 1000, F.lit(0.0)), price)).otherwise(0.0), 6).alias("kept"), scalars.finite(lost).alias("finite"),
+        F.round(scalars.log_scale(price, F.lit(600000.0), 480.0), 6).alias("place"), scalars.exact_double(key * 4503599627370497).alias("exact"), read.alias("parsed"),
+    )
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, 'src/m' || CAST(p_partkey % 7 AS VARCHAR) || '/f' || CAST(p_partkey AS VARCHAR) || '.rs' AS path FROM part), i AS (SELECT k, path, CASE k % 4 WHEN 0 THEN 'crate::m' || CAST((k + 1) % 7 AS VARCHAR) || '::f' || CAST(k + 1 AS VARCHAR) || '::Name' WHEN 1 THEN 'super::m' || CAST((k + 1) % 7 AS VARCHAR) || '::f' || CAST(k + 1 AS VARCHAR) WHEN 2 THEN 'self::f' || CAST(k + 7 AS VARCHAR) ELSE 'serde::de' END AS specifier FROM p),
+t AS (SELECT k, CASE k % 4 WHEN 2 THEN 'src/m' || CAST((k + 7) % 7 AS VARCHAR) || '/f' || CAST(k + 7 AS VARCHAR) || '.rs' WHEN 3 THEN NULL ELSE 'src/m' || CAST((k + 1) % 7 AS VARCHAR) || '/f' || CAST(k + 1 AS VARCHAR) || '.rs' END AS target FROM p)
+SELECT k AS key, i.path, specifier, p2.path AS target, k % 4 = 3 AS external, 'src/m' || CAST(k % 7 AS VARCHAR) || '/g.rs' AS sibling, true AS module FROM i JOIN t USING (k) LEFT JOIN p p2 ON p2.path = t.target""")
+def rust_use_resolution(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as files of a crate that use each other by paths from the crate, the parent and the module itself, or an outer crate."""
+    k = F.col("p_partkey")
+    text = lambda c: c.cast("string")
+    p = b.table(spark, d, "part").select(k.alias("key"), F.concat(F.lit("src/m"), text(k % 7), F.lit("/f"), text(k), F.lit(".rs")).alias("path"))
+    k = F.col("key")
+    after = F.concat(F.lit("m"), text((k + 1) % 7), F.lit("::f"), text(k + 1))
+    spec = F.when(k % 4 == 0, F.concat(F.lit("crate::"), after, F.lit("::Name"))).when(k % 4 == 1, F.concat(F.lit("super::"), after)).when(k % 4 == 2, F.concat(F.lit("self::f"), text(k + 7))).otherwise("serde::de")
+    i = p.select("key", "path", F.lit("rust-use").alias("kind"), spec.alias("specifier"))
+    got = resolve.resolve(resolve.candidates(i), p, ["key"])
+    sibling = resolve.normalize(F.concat(paths.parent(F.col("path")), F.lit("/x/./../g.rs")))
+    return got.select("key", "path", "specifier", "target", resolve.is_external(F.col("kind"), F.col("specifier")).alias("external"), sibling.alias("sibling"), paths.is_source_module(F.col("path")).alias("module"))

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.__main__ import main
-from tessera.functions import inventories, lexer, render
+from tessera.functions import inventories, lexer, render, scalars, tokens
 from tessera.operators import audit, clones, kernel, receipts
 from tessera.plans import bundle
 from tessera.sources import archive, code, git, manifests
@@ -202,7 +202,7 @@ def test_kernel_stops_within_its_budget(spark):
     rows = {r.step: (r.mismatch, r.left, r.right) for r in kernel.zipped(run.frame(spark), other.frame(spark)).collect()}
     assert rows == {0: (None, None, None), 1: ("version", "1", "2"), 2: ("step", None, None)}
     assert [kernel.elapsed_ms(n) for n in (0, 1, 1_999_999, 2_000_000)] == [0, 1, 1, 2]
-    key = spark.range(1).select(kernel.cache_key(F.lit(7), F.lit("abc"), "v1")).first()[0]
+    key = spark.range(1).select(scalars.cache_key(F.lit(7), F.lit("abc"), F.lit("v1"))).first()[0]
     assert key == hashlib.sha256(b"7:abc:v1").hexdigest() + ".json"
 
 
@@ -258,3 +258,7 @@ def test_job_streams(spark, tmp_path):
     latest = {r.analysis_id: (r.events, r.state) for r in drain(jobs.latest_states(stream()), "complete", "lat")}
     assert latest == {"a": (2, "complete"), "b": (1, "requested"), "c": (1, "requested"), "d": (1, "requested")} == {r.analysis_id: (r.events, r.state) for r in jobs.latest_states(spark.read.parquet(str(tmp_path / "in"))).collect()}
     assert {(r.begins.hour, r.state, r.events) for r in drain(jobs.entered(stream()), "append", "ent")} == {(0, "requested", 2), (0, "complete", 1), (2, "requested", 1)}
+
+
+def test_stable_hashes():
+    assert [f"{h:016x}" for h in tokens.fnv1a(["", "a", "foobar", None])] == ["cbf29ce484222325", "af63dc4c8601ec8c", "85944171f73967e8", "cbf29ce484222325"]
