@@ -67,7 +67,10 @@ def rank_files(files: DataFrame, sort: str, top: int) -> DataFrame:
     return files.orderBy(key, "path").limit(top)
 
 
-DIFFERENCES = ["files", *SUMS, "mean_maintainability", "mean_halstead_effort", "functions_per_ksloc", "cognitive_per_ksloc", "cyclomatic_per_ksloc", "arguments_per_function", "exits_per_function", "comment_fraction"]
+DIFFERENCES = ["files", "functions", "sloc", "ploc", "lloc", "cloc", "cognitive", "cyclomatic", "modified_cyclomatic", "arguments", "exits", "mean_maintainability", "mean_halstead_effort"]
+DIFFERENCES += ["functions_per_ksloc", "cognitive_per_ksloc", "cyclomatic_per_ksloc", "arguments_per_function", "exits_per_function", "comment_fraction"]
+#: Tails of the functions' distributions that a comparison has too: name, metric, rank (1: the greatest).
+TAILS = [("function_cognitive_p50", "cognitive", 0.5), ("function_cognitive_p90", "cognitive", 0.9), ("function_cognitive_p99", "cognitive", 0.99), ("function_cognitive_max", "cognitive", 1.0), ("function_cyclomatic_p90", "cyclomatic", 0.9), ("function_sloc_p90", "sloc", 0.9)]
 
 
 def report(files: DataFrame) -> DataFrame:
@@ -85,15 +88,20 @@ def report(files: DataFrame) -> DataFrame:
     )
 
 
-def compare(left: DataFrame, right: DataFrame) -> DataFrame:
-    """metric, left, right, right_minus_left and relative_change_from_left of what both reports have; a metric that is null on a side is left out."""
-    names = [n for n in DIFFERENCES if n in report(left).columns]
+def compare(left: DataFrame, right: DataFrame, functions: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """metric, left, right, right_minus_left and relative_change_from_left of what both reports have, and of the tails of both sides' functions; a metric that is null on a side is left out."""
 
-    def long(files: DataFrame, side: str) -> DataFrame:
+    def long(files: DataFrame, side: str, tails: DataFrame | None) -> DataFrame:
         r = report(files)
-        return r.select(F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias(side)) for n in names))).alias("s")).select("s.*")
-
-    both = long(left, "left").join(long(right, "right"), "metric").dropna()
+        rows = [F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias(side)) for n in DIFFERENCES if n in r.columns]
+        out = r.select(F.explode(F.array(*rows)).alias("s")).select("s.*")
+        if tails is None:
+            return out
+        t = tails.agg(*((F.max(m) if p == 1 else dist.nearest_rank(m, p)).cast("double").alias(n) for n, m, p in TAILS))
+        return out.union(t.select(F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(n).alias(side)) for n, _, _ in TAILS))).alias("s")).select("s.*"))
+
+    a, b = functions or (None, None)
+    both = long(left, "left", a).join(long(right, "right", b), "metric").dropna()
     return both.select("metric", "left", "right", (F.col("right") - F.col("left")).alias("right_minus_left"), relative_change(F.col("left"), F.col("right")).alias("relative_change_from_left"))
 
 

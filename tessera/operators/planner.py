@@ -8,11 +8,15 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import binary_entropy, ratio
+from tessera.plans.checkpoints import cut
 
 STRATEGIES = ("max_information", "information_per_usd", "information_per_second", "max_risk_reduction")
 ENUMERATION_LIMIT = 20
@@ -46,17 +50,41 @@ def probe_metrics(claims: DataFrame, probes: DataFrame) -> DataFrame:
     )
 
 
+def undominated(rows: np.ndarray) -> np.ndarray:
+    """Which rows (greater is better in every column) no other dominates. Rows of greater sums come first, so only kept rows can dominate those after them."""
+    kept = np.zeros(len(rows), bool)
+    best = np.zeros((0, rows.shape[1]))
+    for k in np.argsort(-rows.sum(axis=1), kind="stable"):
+        x = rows[k]
+        if not ((best >= x).all(axis=1) & (best > x).any(axis=1)).any():
+            kept[k] = True
+            best = np.vstack([best, x])
+    return kept
+
+
 def frontier(values: DataFrame) -> DataFrame:
-    """Rows (id, information, risk, usd, seconds) that no other dominates; rows worth nothing are none.
+    """Rows (id, information, risk, usd, seconds) that no other dominates; rows worth nothing are none, and dominate none that is worth something.
 
-    Equal quadruples stand or fall together, so dominance is tested between distinct ones.
+    Equal quadruples stand or fall together. Each partition keeps its own undominated quadruples; only these few are compared with each other.
     """
     v = values.where("information > 0 or risk > 0")
-    d = values.select("information", "risk", "usd", "seconds").distinct()
-    o = d.select(*(F.col(c).alias(f"o_{c}") for c in d.columns))
+    names = ["information", "risk", "usd", "seconds"]
+    d = v.select(*(F.col(c).cast("double").alias(c) for c in names)).distinct()
+
+    def local(frames):
+        best = pd.DataFrame({c: np.zeros(0) for c in names})
+        for pdf in frames:
+            both = pd.concat([best, pdf], ignore_index=True) if len(best) else pdf
+            best = both[undominated(both.to_numpy() * [1, 1, -1, -1])]
+        yield best
+
+    few = cut(d.mapInPandas(local, ", ".join(f"{c} double" for c in names)))
+    o = few.select(*(F.col(c).alias(f"o_{c}") for c in names))
     at_least = (F.col("o_information") >= F.col("information")) & (F.col("o_risk") >= F.col("risk")) & (F.col("o_usd") <= F.col("usd")) & (F.col("o_seconds") <= F.col("seconds"))
     strict = (F.col("o_information") > F.col("information")) | (F.col("o_risk") > F.col("risk")) | (F.col("o_usd") < F.col("usd")) | (F.col("o_seconds") < F.col("seconds"))
-    return v.join(o, at_least & strict, "left_anti")
+    best = few.join(o, at_least & strict, "left_anti").select(*(F.col(c).alias(f"__{c}") for c in names))
+    same = reduce(lambda x, y: x & y, (F.col(c) == F.col(f"__{c}") for c in names))
+    return v.join(best, same, "left_semi")
 
 
 def weighted(metrics: DataFrame) -> DataFrame:

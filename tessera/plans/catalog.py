@@ -160,7 +160,7 @@ def change_profile_coverage(spark: SparkSession, d: str) -> DataFrame:
     return topology.join_coverage(profiled(spark, d))
 
 
-SUM_SQL = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in ("functions", "lines", "sloc", "cloc", "blank", "cognitive", "cyclomatic", "arguments", "exits"))
+SUM_SQL = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in ("functions", "lines", "sloc", "ploc", "lloc", "cloc", "blank", "cognitive", "cyclomatic", "modified_cyclomatic", "arguments", "exits"))
 MEAN_SQL = ", ".join(f"{r6(f'sum({c}) / count(*)')} AS mean_{c}" for c in ("maintainability", "halstead_effort"))
 ABC_SQL = "sum(abc_assignments) AS abc_assignments, sum(abc_branches) AS abc_branches, sum(abc_conditions) AS abc_conditions, round(sqrt(sum(abc_assignments) ** 2 + sum(abc_branches) ** 2 + sum(abc_conditions) ** 2), 6) AS abc_magnitude"
 
@@ -207,18 +207,19 @@ def sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return b.file_metrics(spark, d, 1996), b.file_metrics(spark, d, 1997)
 
 
-def report_sql(t: str) -> str:
-    v = {"files": "count(*)", **{c: f"sum({c})" for c in ("functions", "lines", "sloc", "cloc", "blank", "cognitive", "cyclomatic", "arguments", "exits")}}
+def report_sql(t: str, functions: str) -> str:
+    v = {"files": "count(*)", **{c: f"sum({c})" for c in ("functions", "sloc", "ploc", "lloc", "cloc", "cognitive", "cyclomatic", "modified_cyclomatic", "arguments", "exits")}}
     v |= {f"mean_{c}": f"sum({c}) / count(*)" for c in ("maintainability", "halstead_effort")}
     v |= {f"{c}_per_ksloc": f"sum({c}) * 1000 / nullif(sum(sloc), 0)" for c in ("functions", "cognitive", "cyclomatic")}
     v |= {f"{c}_per_function": f"sum({c}) / nullif(sum(functions), 0)" for c in ("arguments", "exits")} | {"comment_fraction": "sum(cloc) / nullif(sum(lines), 0)"}
-    return " UNION ALL ".join(f"SELECT '{k}' AS metric, CAST({e} AS DOUBLE) AS v FROM {t}" for k, e in v.items())
+    tails = {n: f"max({m})" if p == 1 else f"quantile_disc({m}, {p})" for n, m, p in metrics.TAILS}
+    return " UNION ALL ".join([*(f"SELECT '{k}' AS metric, CAST({e} AS DOUBLE) AS v FROM {t}" for k, e in v.items()), *(f"SELECT '{k}', CAST({e} AS DOUBLE) FROM functions WHERE {functions}" for k, e in tails.items())])
 
 
-@query(PAIR_SQL + f""", l AS ({report_sql("lf")}), r AS ({report_sql("rf")}) SELECT metric, {r6("l.v")} AS "left", {r6("r.v")} AS "right", {r6("r.v - l.v")} AS right_minus_left, {r6("(r.v - l.v) / nullif(abs(l.v), 0)")} AS relative_change_from_left
+@query(PAIR_SQL + f""", {b.FUNCTIONS}, l AS ({report_sql("lf", "shipped = 1996")}), r AS ({report_sql("rf", "shipped = 1997")}) SELECT metric, {r6("l.v")} AS "left", {r6("r.v")} AS "right", {r6("r.v - l.v")} AS right_minus_left, {r6("(r.v - l.v) / nullif(abs(l.v), 0)")} AS relative_change_from_left
   FROM l JOIN r USING (metric) WHERE l.v IS NOT NULL AND r.v IS NOT NULL""")
 def metrics_compare_diffs(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(metrics.compare(*sides(spark, d)))
+    return rounded(metrics.compare(*sides(spark, d), (b.function_metrics(spark, d, 1996), b.function_metrics(spark, d, 1997))))
 
 
 @query(PAIR_SQL + " SELECT path, language, CASE WHEN r.path IS NULL THEN 'only_left' WHEN l.path IS NULL THEN 'only_right' ELSE 'matched' END AS status, " + ", ".join(f"l.{m} AS left_{m}, r.{m} AS right_{m}, r.{m} - l.{m} AS delta_{m}" for m in ("sloc", "cognitive", "cyclomatic", "arguments", "exits")) + " FROM lf l FULL JOIN rf r USING (path, language)")

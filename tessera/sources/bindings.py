@@ -58,9 +58,12 @@ CURRENT = f"""current_files AS (SELECT replace(p_brand, '#', '') || (CASE WHEN p
   CAST(trunc(p_retailprice) AS BIGINT) % 40 AS current_cognitive, CAST(trunc(p_retailprice) AS BIGINT) % 40 % 11 + 1 AS current_cyclomatic FROM part)"""
 
 
-def function_metrics(spark: SparkSession, d: str) -> DataFrame:
+def function_metrics(spark: SparkSession, d: str, year: int | None = None) -> DataFrame:
+    """A function is a line item (shipped in one year)."""
     c = F.col
     li = table(spark, d, "lineitem")
+    if year:
+        li = li.where((c("l_shipdate") >= F.lit(f"{year}-01-01").cast("timestamp_ntz")) & (c("l_shipdate") < F.lit(f"{year + 1}-01-01").cast("timestamp_ntz")))
     return li.select(
         c("l_orderkey").cast("string").alias("path"), c("l_returnflag").alias("language"), c("l_partkey").alias("start_line"), c("l_linenumber").cast("string").alias("name"),
         c("l_quantity").cast("long").alias("sloc"), F.round(c("l_discount") * 100).cast("long").alias("cognitive"), (F.round(c("l_tax") * 100) + 1).cast("long").alias("cyclomatic"),
@@ -71,7 +74,7 @@ def function_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 FUNCTIONS = """functions AS (SELECT CAST(l_orderkey AS VARCHAR) AS path, l_returnflag AS language, l_partkey AS start_line, CAST(l_linenumber AS VARCHAR) AS name,
   CAST(l_quantity AS BIGINT) AS sloc, CAST(round(l_discount * 100) AS BIGINT) AS cognitive, CAST(round(l_tax * 100) + 1 AS BIGINT) AS cyclomatic, CAST(l_linenumber AS BIGINT) AS arguments, l_suppkey % 5 AS exits,
-  CASE WHEN l_linestatus <> 'O' THEN l_extendedprice END AS maintainability, CASE WHEN l_suppkey % 9 <> 0 THEN l_extendedprice END AS halstead_effort, l_suppkey AS tie FROM lineitem)"""
+  CASE WHEN l_linestatus <> 'O' THEN l_extendedprice END AS maintainability, CASE WHEN l_suppkey % 9 <> 0 THEN l_extendedprice END AS halstead_effort, l_suppkey AS tie, year(l_shipdate) AS shipped FROM lineitem)"""
 
 
 def file_metrics(spark: SparkSession, d: str, year: int | None = None) -> DataFrame:
@@ -85,7 +88,7 @@ def file_metrics(spark: SparkSession, d: str, year: int | None = None) -> DataFr
     rows = o.join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.concat(F.lit("f"), F.col("c_custkey").cast("string")).alias("path"), F.col("c_mktsegment").alias("language"))
     total = lambda e: F.sum(e).cast("long")
     return rows.agg(
-        F.count(F.lit(1)).alias("functions"), total(price % 90 + 10).alias("lines"), total(price % 70).alias("sloc"), total(n).alias("cloc"), total(price % 5).alias("blank"), total(price % 13).alias("cognitive"), total(price % 7 + 1).alias("cyclomatic"),
+        F.count(F.lit(1)).alias("functions"), total(price % 90 + 10).alias("lines"), total(price % 70).alias("sloc"), total(price % 60).alias("ploc"), total(price % 50).alias("lloc"), total(price % 6 + 1).alias("modified_cyclomatic"), total(n).alias("cloc"), total(price % 5).alias("blank"), total(price % 13).alias("cognitive"), total(price % 7 + 1).alias("cyclomatic"),
         total(n % 4).alias("arguments"), total(n % 3).alias("exits"), F.max(F.when(n > 6, (price % 100).cast("double"))).alias("maintainability"), F.max(F.when(n > 3, (price % 1000).cast("double"))).alias("halstead_effort"),
         F.sum((n % 2).cast("double")).alias("abc_assignments"), F.sum((n % 5).cast("double")).alias("abc_branches"), F.sum((n % 6).cast("double")).alias("abc_conditions"),
     )
@@ -94,7 +97,7 @@ def file_metrics(spark: SparkSession, d: str, year: int | None = None) -> DataFr
 def file_metrics_sql(name: str = "files", year: int | None = None) -> str:
     p, n = "CAST(trunc(o_totalprice) AS BIGINT)", "(o_orderkey % 10)"
     when = f"WHERE o_orderdate >= TIMESTAMP '{year}-01-01' AND o_orderdate < TIMESTAMP '{year + 1}-01-01'" if year else ""
-    return f"""{name} AS (SELECT 'f' || CAST(c_custkey AS VARCHAR) AS path, c_mktsegment AS language, count(*) AS functions, CAST(sum({p} % 90 + 10) AS BIGINT) AS lines, CAST(sum({p} % 70) AS BIGINT) AS sloc, CAST(sum({n}) AS BIGINT) AS cloc,
+    return f"""{name} AS (SELECT 'f' || CAST(c_custkey AS VARCHAR) AS path, c_mktsegment AS language, count(*) AS functions, CAST(sum({p} % 90 + 10) AS BIGINT) AS lines, CAST(sum({p} % 70) AS BIGINT) AS sloc, CAST(sum({p} % 60) AS BIGINT) AS ploc, CAST(sum({p} % 50) AS BIGINT) AS lloc, CAST(sum({p} % 6 + 1) AS BIGINT) AS modified_cyclomatic, CAST(sum({n}) AS BIGINT) AS cloc,
   CAST(sum({p} % 5) AS BIGINT) AS blank, CAST(sum({p} % 13) AS BIGINT) AS cognitive, CAST(sum({p} % 7 + 1) AS BIGINT) AS cyclomatic, CAST(sum({n} % 4) AS BIGINT) AS arguments, CAST(sum({n} % 3) AS BIGINT) AS exits,
   max(CASE WHEN {n} > 6 THEN CAST({p} % 100 AS DOUBLE) END) AS maintainability, max(CASE WHEN {n} > 3 THEN CAST({p} % 1000 AS DOUBLE) END) AS halstead_effort,
   sum(CAST({n} % 2 AS DOUBLE)) AS abc_assignments, sum(CAST({n} % 5 AS DOUBLE)) AS abc_branches, sum(CAST({n} % 6 AS DOUBLE)) AS abc_conditions
