@@ -194,7 +194,7 @@ def text_functions(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""SELECT o_orderkey, CAST(floor(epoch(o_orderdate) / 86400) AS BIGINT) AS day, {r6("least(1.0, greatest(0.0, o_totalprice / 1e6))")} AS unit, {r6("greatest(o_totalprice - 1000, 0)")} AS kept, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END AS finite,
-  {r6("ln(1 + o_totalprice) * 480 / ln(1 + 600000)")} AS place, CAST(CAST(o_orderkey * 4503599627370497 AS DOUBLE) AS HUGEINT) = CAST(o_orderkey * 4503599627370497 AS HUGEINT) AS exact, CASE WHEN regexp_matches(o_orderpriority, '^[0-9]+$') THEN 1 ELSE 0 END + CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey AS BIGINT) ELSE 0 END AS parsed FROM orders""")
+  {r6("ln(1 + o_totalprice) * 480 / ln(1 + 600000)")} AS place, CAST(CAST(o_orderkey + 18014398509481984 AS DOUBLE) AS HUGEINT) = CAST(o_orderkey + 18014398509481984 AS HUGEINT) AS exact, CASE WHEN regexp_matches(o_orderpriority, '^[0-9]+$') THEN 1 ELSE 0 END + CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey AS BIGINT) ELSE 0 END AS parsed FROM orders""")
 def number_functions(spark: SparkSession, d: str) -> DataFrame:
     """The number expressions over every order."""
     o, price, key = b.table(spark, d, "orders"), F.col("o_totalprice"), F.col("o_orderkey")
@@ -202,7 +202,7 @@ def number_functions(spark: SparkSession, d: str) -> DataFrame:
     read = F.coalesce(scalars.ascii_u64(F.when(key % 2 == 0, key.cast("string")).otherwise("x")), F.lit(0)).cast("long")
     return o.select(
         key, scalars.utc_day(b.seconds("o_orderdate")).alias("day"), F.round(scalars.unit_clamp(price / 1e6), 6).alias("unit"), F.round(F.when(price >= 1000, scalars.nonnegative(F.greatest(price - 1000, F.lit(0.0)), price)).otherwise(0.0), 6).alias("kept"), scalars.finite(lost).alias("finite"),
-        F.round(scalars.log_scale(price, F.lit(600000.0), 480.0), 6).alias("place"), scalars.exact_double(key * 4503599627370497).alias("exact"), read.alias("parsed"),
+        F.round(scalars.log_scale(price, F.lit(600000.0), 480.0), 6).alias("place"), scalars.exact_double(key + 18014398509481984).alias("exact"), read.alias("parsed"),
     )
 
 
