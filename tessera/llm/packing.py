@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.tables import seeded, table
+from tessera.plans.checkpoints import cut
 
 CAPACITY, DOCS_PER_PACKER, SEED = 2048, 20_000, 11
 SCHEMA = "doc_id long, piece int, first_unit long, units long, packer int, window_no long, window_from long"
@@ -71,7 +72,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, docs_per_packer: int = DOCS_
     """
     length = F.col(units).cast("long") if units else F.regexp_count(F.col("text"), F.lit(r"\S+")).cast("long")
     rows = docs.select("doc_id", F.greatest(F.coalesce(length, F.lit(0)), F.lit(0)).alias("__len"), F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64(*docs.columns), F.lit(1 << 32))).alias("__v"))
-    packers = max(1, docs.select(F.count(F.lit(1))).first()[0] // docs_per_packer)
+    rows = cut(rows)  # ids and lengths: the texts are read once
+    packers = max(1, rows.count() // docs_per_packer)
     order = seeded(seed, F.col("doc_id"))
     rows = rows.withColumn("__o", order).withColumn("packer", (F.coalesce("__v", F.conv(F.substring("__o", 1, 8), 16, 10).cast("long")) % packers).cast("int")).drop("__v")
 
