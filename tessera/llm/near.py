@@ -78,8 +78,8 @@ def measured(sets: DataFrame, x: int, threshold: float, probes: int, seed: int)
         met = np.zeros(3, np.int64)
         for batch in batches:
             v, m = batch.column(0).to_numpy(), unpacked(batch.column(1))
-            for lo in range(0, len(m), 4096):
-                mine, sig = trie_keys(m[lo : lo + 4096], x).reshape(-1), (m[lo : lo + 4096] & np.uint32(255)).astype(np.uint8)
+            for lo in range(0, len(m), 256):  # in a hot block a set meets every probe in every trie
+                mine, sig = trie_keys(m[lo : lo + 256], x).reshape(-1), (m[lo : lo + 256] & np.uint32(255)).astype(np.uint8)
                 i, j = np.searchsorted(keys, mine), np.searchsorted(keys, mine, "right")
                 at = np.flatnonzero(j > i)
                 size = (j - i)[at]
@@ -92,6 +92,7 @@ def measured(sets: DataFrame, x: int, threshold: float, probes: int, seed: int)
                 same = ((sig[r] == sigs[p]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
                 use = halves[(same >= threshold) & (same < threshold + 0.1) & (v[lo + r] != own[p])]
                 met += [use[:, 0].sum(), use[:, 1].sum(), use.all(axis=1).sum()]
+        tk.release()
         yield pa.RecordBatch.from_arrays([pa.array([int(n)]) for n in met], names=["a", "b", "both"])
 
     a, b, both = sets.select("v", "values").mapInArrow(run, "a long, b long, both long").agg(F.sum("a"), F.sum("b"), F.sum("both")).first()
