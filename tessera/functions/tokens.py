@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -42,6 +44,16 @@ def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8)[offs[0] : offs[-1]] if data is not None else np.zeros(0, np.uint8)), offs - offs[0]
 
 
+def slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of whole texts of about ``most`` bytes: first row, row after the last, bytes, offsets from 0. A longer text is a run of its own."""
+    data, offs = texts(column)
+    lo = 0
+    while lo < len(offs) - 1:
+        hi = min(max(lo + 1, int(np.searchsorted(offs, offs[lo] + most, "right")) - 1), len(offs) - 1)
+        yield lo, hi, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
+        lo = hi
+
+
 def fnv1a(column) -> np.ndarray:
     """FNV-1a, 64 bits, of each text of a column or list; the longest text sets the number of steps."""
     data, offs = texts(pa.array(column, pa.string()) if isinstance(column, list) else column)
@@ -73,8 +85,27 @@ class Tokens:
         self.hashes = [ranges(data, starts, ends, w) for w in (0, 1)]
         self.first = np.searchsorted(self.doc, np.arange(len(offs)))
 
+    def windows_at(self, k: int) -> np.ndarray:
+        n = len(self.doc)
+        return np.flatnonzero(self.doc[: max(0, n - k + 1)] == self.doc[k - 1 :]) if n else np.zeros(0, np.int64)
+
     def windows(self, k: int) -> tuple[np.ndarray, list[np.ndarray]]:
         """First tokens of all windows of k tokens of one document, and two hashes of each window: 128 bits, so equal hashes mean equal tokens."""
-        n = len(self.doc)
-        at = np.flatnonzero(self.doc[: max(0, n - k + 1)] == self.doc[k - 1 :]) if n else np.zeros(0, np.int64)
+        at = self.windows_at(k)
         return at, [ranges(h, at, at + k, w) for w, h in enumerate(self.hashes)]
+
+    def minimizers(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First tokens of all windows of k tokens, where in each the least hash of k / 2 tokens lies (the first of equals), and that hash. Equal windows have it at
+        equal distances, so a window that occurs twice has a hash that lies at two places; a place serves some k / 4 windows."""
+        at, m = self.windows_at(k), max(1, k // 2)
+        n, width = len(self.doc), k - m + 1
+        if not len(at):
+            return at, at, np.zeros(0, U64)
+        starts = np.arange(n - m + 1)
+        low, place, have = ranges(self.hashes[0], starts, starts + m, 0), starts, 1
+        while have < width:
+            step = min(have, width - have)
+            later = low[step:] < low[: len(low) - step]
+            low, place = np.where(later, low[step:], low[: len(low) - step]), np.where(later, place[step:], place[: len(place) - step])
+            have += step
+        return at, place[at], low[at]

@@ -1,14 +1,17 @@
 """Clone detection over token streams: the texts of files (file, language, text), split at white space.
 
-Windows of k tokens are hashed in Arrow batches and grouped by 128 bits: a group-by, never a pairwise join, so a window that thousands of files
-share costs as many rows. Files of equal token streams are compared once. Maximal runs are found from the windows where a run of a pair begins or ends;
+Windows of k tokens are hashed in slices of a megabyte of text and grouped by 128 bits: a group-by, never a pairwise join, so a window that thousands of files
+share costs as many rows. A first pass tells which may occur twice; windows that cannot are never written. Files of equal token streams are compared once. Maximal runs are found from the windows where a run of a pair begins or ends;
 pairs are formed only there, between different streams. Positions count tokens from 1; ranges are half open.
 """
 
 from __future__ import annotations
 
+from hashlib import md5
+
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,46 +21,131 @@ from tessera.plans.checkpoints import cut
 GRAM = ["language", "h1", "h2"]
 
 
-def kgrams(docs: DataFrame, k: int) -> DataFrame:
-    """(file, language, pos, h1, h2, before, after, line) of each window of k tokens, hashes of the tokens around it (null at an end), and the line where it begins."""
+class Shared:
+    """Which windows may occur more than once, told by a bit for the hash of a part of each (:meth:`Tokens.minimizers`). All that do are among them; ``places`` estimates how many."""
+
+    def __init__(self, bits: Broadcast | None, width: int, places: int):
+        self.bits, self.width, self.places = bits, width, places
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        if self.bits is None:
+            return np.zeros(len(hashes), bool)
+        bit = hashes >> np.uint64(64 - self.width)
+        return (np.frombuffer(self.bits.value, np.uint8)[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & np.uint8(1) != 0
+
+
+#: Bits of the broadcast map: 32 for each hash, up to 32 MB; beyond, more windows pass that occur once, which costs time only.
+LEAST_BITS, MOST_BITS = 15, 28
+
+
+def shared(docs: DataFrame, k: int) -> Shared:
+    """The windows of k tokens that may occur more than once, from one row for each dozen windows."""
 
     def run(batches):
         for batch in batches:
-            t = tok.Tokens(*tok.texts(batch.column(2)))
-            at, (h1, h2) = t.windows(k)
-            doc = t.doc[at]
-            rows, n = pa.array(doc), len(t.doc)
-            before, after = at - 1, at + k
-            begins, ends = at == t.first[doc], after == t.first[doc + 1]
-            around = [pa.array(t.hashes[0][np.clip(x, 0, max(n - 1, 0))].view(np.int64), mask=m) for x, m in ((before, begins), (after, ends))] if n else [pa.array([], pa.int64())] * 2
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at - t.first[doc] + 1), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), *around, pa.array(t.line[at])],
-                names=["file", "language", "pos", "h1", "h2", "before", "after", "line"],
-            )
+            for _, _, data, offs in tok.slices(batch.column(0)):
+                _, place, low = tok.Tokens(data, offs).minimizers(k)
+                new = np.ones(len(place), bool)
+                new[1:] = place[1:] != place[:-1]
+                yield pa.RecordBatch.from_arrays([pa.array(low[new].view(np.int64))], names=["h"])
+
+    h = docs.select("text").mapInArrow(run, "h long")
+    twice = cut(h.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    n, places = twice.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if not n:
+        return Shared(None, 0, 0)
+    width = min(MOST_BITS, max(LEAST_BITS, (32 * n - 1).bit_length()))
+    # bitmap functions count from 1, in buckets of 4 KB
+    bit = twice.select((F.shiftrightunsigned("h", 64 - width) + 1).alias("b")).select(F.bitmap_bucket_number("b").alias("bucket"), F.bitmap_bit_position("b").alias("at"))
+    out = bytearray((1 << width) // 8)
+    for r in bit.repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("map")).toLocalIterator():
+        out[(r.bucket - 1) * 4096 : r.bucket * 4096] = r.map
+    return Shared(docs.sparkSession.sparkContext.broadcast(bytes(out)), width, places * (k // 4 + 1))
+
+
+def gathered(rows: DataFrame, expected: int, *by: str) -> DataFrame:
+    """Rows of equal ``by`` in one partition, in as many partitions as keep each to some 500,000 rows."""
+    few = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(few, expected // 500_000 + 1), *by)
+
+
+def kgrams(docs: DataFrame, k: int, some: Shared | None = None) -> DataFrame:
+    """(file, language, pos, h1, h2, before, after, line) of each window of k tokens, hashes of the tokens around it (null at an end), and the line where it begins;
+    of those in ``some`` only, if given."""
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi, data, offs in tok.slices(batch.column(2)):
+                t = tok.Tokens(data, offs)
+                if some is None:
+                    at = t.windows_at(k)
+                else:
+                    at, _, low = t.minimizers(k)
+                    at = at[some(low)]
+                h1, h2 = (tok.ranges(h, at, at + k, w) for w, h in enumerate(t.hashes))
+                doc = t.doc[at]
+                rows, n = pa.array(doc + lo), len(t.doc)
+                before, after = at - 1, at + k
+                begins, ends = at == t.first[doc], after == t.first[doc + 1]
+                around = [pa.array(t.hashes[0][np.clip(x, 0, max(n - 1, 0))].view(np.int64), mask=m) for x, m in ((before, begins), (after, ends))] if n else [pa.array([], pa.int64())] * 2
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at - t.first[doc] + 1), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), *around, pa.array(t.line[at])],
+                    names=["file", "language", "pos", "h1", "h2", "before", "after", "line"],
+                )
 
     kind = docs.schema["file"].dataType.simpleString()
     return docs.select("file", "language", "text").mapInArrow(run, f"file {kind}, language string, pos long, h1 long, h2 long, before long, after long, line long")
 
 
+def digests(docs: DataFrame, k: int, some: Shared) -> DataFrame:
+    """(file, language, digest, pos, n) of the windows in ``some``, the copies in one text as one row: the MD5 of the joined tokens, the first place and how many."""
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi, data, offs in tok.slices(batch.column(2)):
+                t = tok.Tokens(data, offs)
+                at, _, low = t.minimizers(k)
+                at = at[some(low)]
+                rows, keys, pos, counts = [], [], [], []
+                for d in np.unique(t.doc[at]):
+                    words = data[offs[d] : offs[d + 1]].tobytes().split()
+                    joined = b" ".join(words)
+                    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+                    i = at[t.doc[at] == d] - t.first[d]
+                    found: dict[bytes, list[int]] = {}
+                    for p, a, b in zip(i.tolist(), np.concatenate([[0], ends])[i].tolist(), (ends[i + k - 1] - 1).tolist()):
+                        seen = found.setdefault(md5(joined[a:b]).digest(), [p + 1, 0])
+                        seen[1] += 1
+                    rows += [int(d) + lo] * len(found)
+                    keys += found
+                    pos += [x for x, _ in found.values()]
+                    counts += [x for _, x in found.values()]
+                rows = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(keys, pa.binary()), pa.array(pos, pa.int64()), pa.array(counts, pa.int64())], names=["file", "language", "digest", "pos", "n"])
+
+    kind = docs.schema["file"].dataType.simpleString()
+    return docs.select("file", "language", "text").mapInArrow(run, f"file {kind}, language string, digest binary, pos long, n long")
+
+
 def split_tokens(text: Column) -> Column:
     return F.split(F.regexp_replace(text, r"^\s+|\s+$", ""), r"\s+")
 
 
-def repeated(grams: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+def repeated(docs: DataFrame, k: int) -> DataFrame:
     """Windows that occur more than once in a language: language, digest (of the joined tokens), occurrences, files, first_file, first_pos."""
-    per_file = grams.groupBy(*GRAM, "file").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos"))
-    g = per_file.groupBy(*GRAM).agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("files"), F.min(F.struct("file", "pos")).alias("f")).where("occurrences > 1")
-    # the text of a file is split once for all windows that occur there first; they are no more than its tokens
-    at = g.groupBy(F.col("f.file").alias("__file")).agg(F.collect_list(F.struct(F.col("f.pos").alias("pos"), "language", "occurrences", "files")).alias("__w"))
-    named = at.join(docs.select("file", split_tokens(F.col("text")).alias("__t")), F.col("__file") == F.col("file"))
-    w = F.explode(F.transform("__w", lambda x: F.struct(x["language"].alias("language"), F.md5(F.array_join(F.slice(F.col("__t"), x["pos"].cast("int"), k), " ")).alias("digest"), x["occurrences"].alias("occurrences"), x["files"].alias("files"), F.col("file").alias("first_file"), x["pos"].alias("first_pos"))))
-    return named.select(w.alias("w")).select("w.*")
+    some = shared(docs, k)
+    by = gathered(digests(docs, k, some), some.places, "language", "digest")
+    per_file = by.groupBy("language", "digest", "file").agg(F.sum("n").alias("n"), F.min("pos").alias("pos"))
+    g = per_file.groupBy("language", "digest").agg(F.sum("n").alias("occurrences"), F.count("file").alias("files"), F.min(F.struct("file", "pos")).alias("f")).where("occurrences > 1")
+    return g.select("language", F.lower(F.hex("digest")).alias("digest"), "occurrences", "files", F.col("f.file").alias("first_file"), F.col("f.pos").alias("first_pos"))
 
 
-def cloned_windows(grams: DataFrame) -> DataFrame:
-    """Occurrences of the repeated windows, with how often each occurs."""
-    g = grams.groupBy(*GRAM).agg(F.count(F.lit(1)).alias("occurrences")).where("occurrences > 1")
-    return grams.join(g, GRAM)
+def cloned_windows(docs: DataFrame, k: int) -> DataFrame:
+    """(file, pos, stop) of all occurrences of the windows that occur more than once, those of a file in one partition."""
+    some = shared(docs, k)
+    by = gathered(kgrams(docs, k, some).select("file", "pos", *GRAM), some.places, *GRAM)
+    many = by.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*GRAM))).where("__n > 1")
+    return gathered(many.select("file", "pos", (F.col("pos") + k).alias("stop")), some.places, "file")
 
 
 def islands(ranges: DataFrame, by: str, start: str, end: str) -> DataFrame:
@@ -105,7 +193,7 @@ def spans_of(docs: DataFrame, k: int, min_lines: int) -> DataFrame:
     named = cut(docs.select("file", "language", stream.alias("stream")))
     copies = named.groupBy("language", "stream").agg(F.min("file").alias("rep"), F.count(F.lit(1)).alias("copies"))
     reps = cut(docs.join(copies.select(F.col("rep").alias("__rep"), "copies"), F.col("file") == F.col("__rep")).select("file", "language", "text", "copies"))
-    runs = diagonals(kgrams(reps.select("file", "language", "text"), k), k)
+    runs = diagonals(kgrams(reps, k, shared(reps, k)), k)
     many = reps.where("copies > 1").select(F.col("file").alias("__f"), F.size(split_tokens(F.col("text"))).cast("long").alias("n"))
     one = F.col("left_file") == F.col("right_file")
     # within one file a run is cut to the distance of its ends; between copies of the file it stands as it is
@@ -121,16 +209,17 @@ def spans_of(docs: DataFrame, k: int, min_lines: int) -> DataFrame:
 
     def contents(batches):
         for batch in batches:
-            t = tok.Tokens(*tok.texts(batch.column(2)))
-            lists = batch.column(3)
-            doc = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
-            flat = lists.flatten()
-            start, size = (flat.field(c).to_numpy() for c in ("start", "tokens"))
-            a = t.first[doc] + start - 1
-            b = a + size
-            h = [tok.ranges(v, a, b, w) for w, v in enumerate(t.hashes)]
-            rows = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(start), pa.array(size), pa.array([f"{x:016x}{y:016x}" for x, y in zip(*h)], pa.string()), pa.array(t.line[b - 1] - t.line[a] + 1)], names=["rep", "language", "start", "tokens", "digest", "lines"])
+            for lo, hi, data, offs in tok.slices(batch.column(2)):
+                t = tok.Tokens(data, offs)
+                lists = batch.column(3).slice(lo, hi - lo)
+                doc = np.repeat(np.arange(hi - lo), lists.value_lengths().to_numpy())
+                flat = lists.flatten()
+                start, size = (flat.field(c).to_numpy() for c in ("start", "tokens"))
+                a = t.first[doc] + start - 1
+                b = a + size
+                h = [tok.ranges(v, a, b, w) for w, v in enumerate(t.hashes)]
+                rows = pa.array(doc + lo)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(start), pa.array(size), pa.array([f"{x:016x}{y:016x}" for x, y in zip(*h)], pa.string()), pa.array(t.line[b - 1] - t.line[a] + 1)], names=["rep", "language", "start", "tokens", "digest", "lines"])
 
     kind = docs.schema["file"].dataType.simpleString()
     known = cut(found.mapInArrow(contents, f"rep {kind}, language string, start long, tokens long, digest string, lines long"))

@@ -1,11 +1,14 @@
 """Small inputs with results worked out by hand."""
 
 import random
+from hashlib import md5
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import paths, scalars
+from tessera.functions import tokens as tok
 from tessera.operators import clones, dist, graph, planner, receipts, resolve, shape, topology
 from tessera.plans import catalog
 from tessera.sources import bindings
@@ -171,3 +174,27 @@ def test_scalars(spark):
     one = spark.range(1)
     v = one.select(scalars.pointer_token(F.lit("a~/b")), scalars.ratio(F.lit(1), F.lit(0)), scalars.choose_two(F.lit(5)), scalars.binary_entropy(F.lit(0.5)), scalars.line_count(F.lit("a\nb")), scalars.requirement_name(F.lit("pkg[x]>=1")), scalars.utc_day(F.lit(-1))).first()
     assert tuple(v) == ("a~0~1b", None, 10, 1.0, 2, "pkg", -1)
+
+
+def test_shared_windows_lose_none(spark):
+    """Windows that occur twice pass, also in periodic and long texts; texts are taken in slices, so a batch of any size is hashed in little memory."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abcdefgh") * 3 for _ in range(60)) for _ in range(20)]
+    texts += ["p " * 41, texts[3] + " x", "y " + texts[4], " ".join(f"w{k}" for k in range(300)), "a b " * 45, None, ""]
+    rows = [(n, "x" if n % 2 else "y", t) for n, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "file long, language string, text string").coalesce(1)
+    for k in (6, 7, 40):
+        by = {}
+        for f, language, t in rows:
+            words = (t or "").split(" ")
+            words = [w for w in words if w]
+            for i in range(len(words) - k + 1):
+                by.setdefault((language, " ".join(words[i : i + k])), []).append((f, i + 1))
+        want = {(g, md5(w.encode()).hexdigest(), len(x), len({f for f, _ in x}), *min(x)) for (g, w), x in by.items() if len(x) > 1}
+        assert {tuple(r) for r in clones.repeated(docs, k).collect()} == want
+        places = {(f, p) for x in by.values() if len(x) > 1 for f, p in x}
+        got = [(r.file, r.pos) for r in clones.cloned_windows(docs, k).collect()]
+        assert len(got) == len(places) and set(got) == places
+    words = spark.createDataFrame([(n, "x", " ".join(f"{n}-{k}" for k in range(20_000))) for n in range(30)], "file long, language string, text string")
+    assert clones.kgrams(words, 40, clones.shared(words, 40)).count() == 0
+    assert max(hi - lo for lo, hi, *_ in tok.slices(pa.array(["x" * 300_000] * 40))) <= 3
