@@ -17,6 +17,11 @@ def merged(raw: DataFrame) -> DataFrame:
     return rows.agg(F.max("ts").alias("ts"), F.sum(F.when(F.col("is_binary"), 0).otherwise(F.col("line_mass"))).cast("long").alias("line_mass"), F.bool_or("is_text").alias("is_text"), F.bool_or("is_binary").alias("is_binary"))
 
 
+def countable(raw: DataFrame) -> DataFrame:
+    """Unmerged changes with no mass for binary ones: sums by path are those of :func:`merged`, without a group for each commit and path."""
+    return raw.withColumn("line_mass", F.when(F.col("is_binary"), 0).otherwise(F.col("line_mass")).cast("long"))
+
+
 def window_of_commits(files: DataFrame, newest: int, order: str = "ts") -> DataFrame:
     """The newest commits with their places, and whether there were more: takes newest + 1 and keeps the last as a sentinel."""
     commits = files.groupBy("commit").agg(F.max(order).alias(order))

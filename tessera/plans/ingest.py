@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import paths, render, scalars
 from tessera.operators import audit, receipts, resolve, topology
-from tessera.plans.catalog import query, r6, rounded
+from tessera.plans.catalog import masses_of, query, r6, rounded
 from tessera.sources import bindings as b
 from tessera.sources import code, git, manifests
 
@@ -158,7 +158,7 @@ PROFILE_SQL = f"WITH {b.COMMITS}, {b.CURRENT}, h AS (SELECT path, CAST(sum(line_
 @query(PROFILE_SQL + "SELECT language, count(*) AS files, arg_min(path, (-mass, path)) AS by_mass, max(mass) AS mass, arg_min(path, (-current_cognitive, path)) AS by_cognitive, max(current_cognitive) AS cognitive FROM current_files JOIN h USING (path) GROUP BY language")
 def facet_extrema(spark: SparkSession, d: str) -> DataFrame:
     """For each language, the current files with a history: how many, and those of most change and of most cognitive weight."""
-    h = topology.merged(b.raw_commit_files(spark, d)).groupBy("path").agg(F.sum("line_mass").alias("mass"))
+    h = masses_of(spark, d).groupBy("path").agg(F.sum("line_mass").alias("mass"))
     j = b.current_files(spark, d).join(h, "path")
     most = lambda c: F.min_by("path", F.struct(-F.col(c), F.col("path")))
     return j.groupBy("language").agg(F.count(F.lit(1)).alias("files"), most("mass").alias("by_mass"), F.max("mass").alias("mass"), most("current_cognitive").alias("by_cognitive"), F.max("current_cognitive").alias("cognitive"))

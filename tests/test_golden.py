@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import paths, render, scalars
 from tessera.functions import tokens as tok
 from tessera.operators import clones, dist, graph, planner, receipts, resolve, shape, topology
-from tessera.plans import catalog
+from tessera.plans import catalog, checkpoints
 from tessera.sources import bindings
 from tests.oracle import DATA
 
@@ -205,3 +205,25 @@ def test_durations_round_by_their_exact_value(spark):
     got = spark.createDataFrame([(x,) for x in ns], "ns long").select("ns", render.duration(F.col("ns")).alias("t")).collect()
     unit = lambda x: ("%.3fs" % (x / 1e9)) if x >= 10**9 else ("%.3fms" % (x / 1e6)) if x >= 10**6 else ("%.3fµs" % (x / 1e3)) if x >= 1000 else f"{x}ns"
     assert {r.ns: r.t for r in got} == {x: unit(x) for x in ns}
+
+
+def test_partitions_follow_the_rows(spark, monkeypatch):
+    """Joins and groups over lines have more partitions where tasks would hold more rows than allowed; a sum over unmerged changes is that over merged ones."""
+    monkeypatch.setattr(bindings, "parts", lambda spark, rows: checkpoints.parts(spark, rows, 500))
+    raw = bindings.raw_commit_files(spark, DATA)
+    assert raw.rdd.getNumPartitions() == topology.merged(raw).rdd.getNumPartitions() == 6000 // 500 + 1
+    assert bindings.graph_edges(spark, DATA).rdd.getNumPartitions() == 18_000 // 500 + 1
+    by_path = lambda x: {r.path: r.mass for r in topology.hotspots(x).collect()}
+    assert by_path(topology.merged(raw)) == by_path(topology.countable(bindings.raw_commit_files(spark, DATA, last="path")))
+    assert checkpoints.parts(spark, 5_000_000) == 11 and checkpoints.parts(spark, 10) == 4
+
+
+def test_depth_and_nodes_of_a_declared_graph(spark):
+    declared = spark.createDataFrame([(1, 2, "internal", 1), (1, 2, "internal", 2), (1, 2, "external", 3), (2, 3, "internal", 1), (1, 3, "internal", 1), (3, -7, "external", 1), (1, -7, "external", 1), (4, -9, "unresolved", 1), (3, 5, "internal", 1), (5, 3, "internal", 1)], "source long, target long, class string, line int")
+    files = spark.createDataFrame([(k,) for k in (1, 2, 3, 4, 5, 6)], "id long")
+    got = {tuple(r) for r in graph.nodes(files, declared, 10).collect()}
+    f, e, u = graph.KINDS[1:]
+    assert got == {(1, f, 0, 3, 0, 2), (2, f, 1, 1, 1, 1), (3, f, 3, 2, 3, 1), (4, f, 0, 1, 0, 0), (5, f, 1, 1, 1, 1), (6, f, 0, 0, 0, 0), (-7, e, 2, 0, None, None), (-9, u, 1, 0, None, None)}
+    adj = graph.adjacency(declared)
+    scc = graph.strong_components(files, adj, graph.closure(adj))
+    assert {tuple(r) for r in graph.condensation_depth(scc, adj).collect()} == {(1, 0), (2, 1), (3, 2), (4, 0), (6, 0)}
