@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions import paths, render, scalars
 from tessera.operators import audit, receipts, resolve, topology
 from tessera.plans.catalog import masses_of, query, r6, rounded
+from tessera.plans.checkpoints import parts
 from tessera.sources import bindings as b
 from tessera.sources import code, git, manifests
 
@@ -25,16 +26,18 @@ def log_sections(spark: SparkSession, d: str) -> DataFrame:
     li = b.table(spark, d, "lineitem").select("l_orderkey", "l_partkey", F.col("l_quantity").cast("long").cast("string").alias("q"), "l_returnflag")
     path = F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit('"'), F.col("path"), F.lit('\\t\\303\\251\\""'))).otherwise(F.col("path"))
     line = F.concat(F.when(F.col("l_returnflag") == "R", F.lit("-\t-")).otherwise(F.concat(F.col("q"), F.lit("\t0"))), F.lit("\t"), path)
+    n = parts(spark, li.count())
+    named = li.repartition(n, "l_partkey").join(p.repartition(n, "p_partkey"), F.col("l_partkey") == F.col("p_partkey"))
     # an order has a handful of lines
-    rows = li.join(p, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_orderkey").agg(F.array_join(F.collect_list(line), "\n").alias("lines"))
-    both = rows.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = named.repartition(n, "l_orderkey").groupBy("l_orderkey").agg(F.array_join(F.collect_list(line), "\n").alias("lines"))
+    both = rows.join(o.repartition(n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     head = F.concat(F.md5(F.concat(F.lit("c"), F.col("o_orderkey").cast("string"))), F.lit("00000000\x00"), F.col("ts").cast("string"), F.lit("\x00\n"))
     return both.select(F.concat(head, F.col("lines"), F.lit("\n")).alias("value"))
 
 
 @query(f"WITH {LOG_PATHS} SELECT commit, ts, path, CAST(sum(CASE WHEN bin THEN 0 ELSE q END) AS BIGINT) AS line_mass, bool_or(NOT bin) AS is_text, bool_or(bin) AS is_binary, CAST(NULL AS VARCHAR) AS error FROM lg GROUP BY commit, ts, path")
 def git_log(spark: SparkSession, d: str) -> DataFrame:
-    return git.parse_log(log_sections(spark, d))
+    return git.parse_log(log_sections(spark, d), b.table(spark, d, "lineitem").count())
 
 
 @query("""SELECT CASE p_partkey % 10 WHEN 0 THEN '120000' WHEN 1 THEN '160000' WHEN 2 THEN '100755' ELSE '100644' END AS mode, CASE p_partkey % 10 WHEN 1 THEN 'commit' ELSE 'blob' END AS type, count(*) AS entries, CAST(sum(CASE WHEN p_partkey % 10 <> 1 THEN p_size END) AS BIGINT) AS bytes FROM part GROUP BY ALL""")

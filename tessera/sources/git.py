@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tessera.plans.checkpoints import parts
+
 LOG_FORMAT = ["log", "--no-merges", "--no-renames", "--format=%x1e%H%x00%ct%x00", "--numstat"]
 ESCAPES = {"a": 7, "b": 8, "t": 9, "n": 10, "v": 11, "f": 12, "r": 13, "\\": 92, '"': 34}
 
@@ -62,23 +64,23 @@ def display(path: bytes | None) -> str | None:
 
 @F.pandas_udf(StringType())
 def _unquoted(paths: pd.Series) -> pd.Series:
-    return paths.map(lambda p: display(decode_quoted(p)))
+    return pd.Series([None if p is None else display(decode_quoted(p)) for p in paths], paths.index, dtype=object)
 
 
 def plain_path(path: Column) -> Column:
     """The display form of a path as git prints it; null if its quoting is broken or it is empty."""
-    return F.when(path.startswith('"'), _unquoted(path)).when(path != "", path)
+    return F.when(path.startswith('"'), _unquoted(F.when(path.startswith('"'), path))).when(path != "", path)
 
 
-def parse_log(sections: DataFrame) -> DataFrame:
+def parse_log(sections: DataFrame, known: int = 0) -> DataFrame:
     """(commit, ts, path, line_mass, is_text, is_binary, error) from ``sections`` (value): what lies between record separators. Rows of one path and commit are merged;
-    a commit without files is a row with a null path."""
+    a commit without files is a row with a null path. ``known`` tells about how many rows there are."""
     s = sections.where(F.trim(F.translate("value", "\n\r\t", "   ")) != "")
     head = F.split("value", "\x00", 3)
     commit, ts = F.get(head, F.lit(0)), F.expr("try_cast(get(split(value, '\\\\x00', 3), 1) as bigint)")
     good = commit.rlike(r"\A(?:[0-9a-fA-F]{40}|[0-9a-fA-F]{64})\z")
     wrong = F.when(F.size(head) < 3, "header").when(~good, "object id").when(ts.isNull(), "timestamp")
-    lines = F.filter(F.transform(F.split(F.coalesce(F.get(head, F.lit(2)), F.lit("")), "\n"), lambda x: F.regexp_replace(x, r"\r\z", "")), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.coalesce(F.get(head, F.lit(2)), F.lit("")), "\n"), lambda x: F.when(x.endswith("\r"), F.substring(x, F.lit(1), F.length(x) - 1)).otherwise(x)), lambda x: x != "")
     rows = s.select(F.when(good, commit).alias("commit"), ts.alias("ts"), wrong.alias("error"), F.explode_outer(F.when(wrong.isNull(), lines)).alias("line"))
     f = F.split("line", "\t", 3)
     rows = rows.withColumns({"a": F.get(f, F.lit(0)), "d": F.get(f, F.lit(1)), "raw": F.get(f, F.lit(2))})
@@ -87,9 +89,13 @@ def parse_log(sections: DataFrame) -> DataFrame:
     mass = F.when(binary, F.lit(0).cast("long")).otherwise(number("a") + number("d"))
     rows = rows.select("commit", "ts", plain_path(F.col("raw")).alias("path"), mass.alias("line_mass"), (~binary).alias("is_text"), binary.alias("is_binary"), F.coalesce("error", F.when(F.col("line").isNotNull() & (mass.isNull() | F.coalesce(F.col("raw") == "", F.lit(True))), "numstat")).alias("error"), "line")
     rows = rows.withColumn("error", F.coalesce("error", F.when(F.col("line").isNotNull() & F.col("path").isNull(), "path")))
-    merged = rows.where("error is null").groupBy("commit", "ts", "path").agg(F.sum("line_mass").alias("line_mass"), F.bool_or("is_text").alias("is_text"), F.bool_or("is_binary").alias("is_binary"))
-    bad = rows.where("error is not null").select("commit", "ts", "path", F.lit(None).cast("long"), F.lit(None).cast("boolean"), F.lit(None).cast("boolean"), "error")
-    return merged.withColumn("error", F.lit(None).cast("string")).union(bad)
+    # one pass: a malformed record is a group of its own
+    own, fine = F.when(F.col("error").isNotNull(), F.monotonically_increasing_id()), F.col("error").isNull()
+    parsed = rows.select("commit", "ts", "path", "error", own.alias("own"), F.when(fine, F.col("line_mass")).alias("line_mass"), F.when(fine, F.col("is_text")).alias("is_text"), F.when(fine, F.col("is_binary")).alias("is_binary"))
+    if known:
+        parsed = parsed.repartition(parts(sections.sparkSession, known), "commit")
+    merged = parsed.groupBy("commit", "ts", "path", "error", "own").agg(F.sum("line_mass").alias("line_mass"), F.bool_or("is_text").alias("is_text"), F.bool_or("is_binary").alias("is_binary"))
+    return merged.select("commit", "ts", "path", "line_mass", "is_text", "is_binary", "error")
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
