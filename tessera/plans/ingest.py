@@ -5,10 +5,13 @@ The DuckDB twins count what was written, so a reader that loses or invents a row
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import paths, render, scalars
+from tessera.functions import tokens as tok
 from tessera.operators import audit, receipts, resolve, topology
 from tessera.plans.catalog import masses_of, query, r6, rounded
 from tessera.plans.checkpoints import parts
@@ -85,13 +88,33 @@ TEMPLATES = {
 }
 
 
+#: Letters and spaces as they are, other first bytes of a character as a space.
+PLAIN = np.full(256, 32, np.uint8)
+for _from, _to in ((65, 91), (97, 123)):
+    PLAIN[_from:_to] = np.arange(_from, _to)
+
+
+def plain(data: np.ndarray, offs: np.ndarray) -> list[str]:
+    """Texts (bytes and offsets) with a space for each character but ASCII letters and spaces."""
+    first = (data & 0xC0) != 0x80
+    at = np.concatenate([[0], np.cumsum(first)])[offs].tolist()
+    out = PLAIN[data[first]].tobytes().decode("ascii")
+    return [out[x:y] for x, y in zip(at, at[1:])]
+
+
 def source_files(spark: SparkSession, d: str) -> DataFrame:
-    """Each document as a source file, its words in the leading comment."""
-    docs = b.table(spark, d, "documents").select("doc_id", F.regexp_replace("text", "[^A-Za-z ]", " ").alias("c"))
-    k, ext = F.col("doc_id") % 4, F.array(*map(F.lit, ("rs", "py", "js", "go")))
-    text = F.element_at(F.array(*map(F.lit, TEMPLATES.values())), (k + 1).cast("int"))
-    text = F.replace(F.replace(text, F.lit("{d}"), F.col("doc_id").cast("string")), F.lit("{c}"), F.col("c"))
-    return code.sources(docs.select(F.concat(F.lit("s/"), F.col("doc_id").cast("string"), F.lit("."), F.element_at(ext, (k + 1).cast("int"))).alias("path"), text.alias("content")))
+    """Each document as a source file, its words in the leading comment. They are written in one pass in Arrow batches: as a column expression the text would be
+    written anew for each condition on it."""
+    forms = list(zip(("rs", "py", "js", "go"), TEMPLATES.values()))
+
+    def write(batches):
+        for batch in batches:
+            ids, there = batch.column(0).to_pylist(), batch.column(1).is_valid().to_pylist()
+            for lo, hi, data, offs in tok.slices(batch.column(1)):
+                some = [(k, *forms[k % 4], c) for k, c, t in zip(ids[lo:hi], plain(data, offs), there[lo:hi]) if t and k is not None]
+                yield pa.RecordBatch.from_arrays([pa.array([f"s/{k}.{ext}" for k, ext, _, _ in some], pa.string()), pa.array([form.replace("{d}", str(k)).replace("{c}", c) for k, _, form, c in some], pa.string())], names=["path", "content"])
+
+    return code.sources(b.table(spark, d, "documents").select("doc_id", "text").mapInArrow(write, "path string, content string"))
 
 
 def per_language(rows: str, columns: str) -> str:

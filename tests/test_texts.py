@@ -7,13 +7,15 @@ import subprocess
 import sys
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.__main__ import main
 from tessera.functions import inventories, lexer, render, scalars, tokens
+from tessera.functions import tokens as tok
 from tessera.operators import audit, clones, kernel, receipts
-from tessera.plans import bundle
+from tessera.plans import bundle, ingest
 from tessera.sources import archive, code, git, manifests
 from tessera.streaming import jobs
 
@@ -262,3 +264,15 @@ def test_job_streams(spark, tmp_path):
 
 def test_stable_hashes():
     assert [f"{h:016x}" for h in tokens.fnv1a(["", "a", "foobar", None])] == ["cbf29ce484222325", "af63dc4c8601ec8c", "85944171f73967e8", "cbf29ce484222325"]
+
+
+def test_plain_texts_and_written_sources(spark, tmp_path):
+    texts = ["ab, c\n1", "é日本x", "", "😀z \t", None]
+    data, offs = tok.texts(pa.array(texts))
+    assert ingest.plain(data, offs) == ["".join(c if c.isascii() and c.isalpha() or c == " " else " " for c in t or "") for t in texts]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.path: (r.language, r.text) for r in ingest.source_files(spark, str(tmp_path)).collect()}
+    assert set(got) == {"s/0.rs", "s/1.py", "s/2.js", "s/3.go"} and got["s/1.py"] == ("python", ingest.TEMPLATES["python"].replace("{d}", "1").replace("{c}", "   x"))
+    # the text is written once, whatever asks for it
+    plan = ingest.source_files(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and plan.count("MapInArrow") == 1
