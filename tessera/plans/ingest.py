@@ -239,7 +239,9 @@ def rust_use_resolution(spark: SparkSession, d: str) -> DataFrame:
     """Parts as files of a crate that use each other by paths from the crate, the parent and the module itself, or an outer crate."""
     k = F.col("p_partkey")
     text = lambda c: c.cast("string")
-    p = b.table(spark, d, "part").select(k.alias("key"), F.concat(F.lit("src/m"), text(k % 7), F.lit("/f"), text(k), F.lit(".rs")).alias("path"))
+    t = b.table(spark, d, "part")
+    # a part is a few bytes on disk, so its table is read by one task, which would work out the candidates of all
+    p = t.select(k).repartition(parts(spark, t.count(), 50_000), k).select(k.alias("key"), F.concat(F.lit("src/m"), text(k % 7), F.lit("/f"), text(k), F.lit(".rs")).alias("path"))
     k = F.col("key")
     after = F.concat(F.lit("m"), text((k + 1) % 7), F.lit("::f"), text(k + 1))
     spec = F.when(k % 4 == 0, F.concat(F.lit("crate::"), after, F.lit("::Name"))).when(k % 4 == 1, F.concat(F.lit("super::"), after)).when(k % 4 == 2, F.concat(F.lit("self::f"), text(k + 7))).otherwise("serde::de")

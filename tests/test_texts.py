@@ -276,3 +276,10 @@ def test_plain_texts_and_written_sources(spark, tmp_path):
     # the text is written once, whatever asks for it
     plan = ingest.source_files(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_replace" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_uses_are_resolved_in_several_tasks(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(ingest, "parts", lambda *a: seen.append(a[1:]) or 7)
+    ingest.rust_use_resolution(spark, "/root/testdata/sf0.001")
+    assert seen == [(200, 50_000)]
