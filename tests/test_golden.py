@@ -161,6 +161,52 @@ def test_clone_groups_against_all_pairs(spark, min_lines):
     assert clones.groups(docs.where("false"), 6).count() == 0
 
 
+def random_texts(rng):
+    """A few texts of one kind: random of few words, near copies, periodic, or joined of common passages."""
+    kind, passages = rng.randrange(4), [[f"w{rng.randrange(6)}" for _ in range(rng.randrange(5, 14))] for _ in range(3)]
+    if kind == 0:
+        texts = [[rng.choice("uv") for _ in range(rng.randrange(10, 40))] for _ in range(5)]
+    elif kind == 1:
+        base = [f"x{k}" for k in range(40)]
+        texts = [[w if rng.random() > 0.06 else rng.choice("uv") for w in base] for _ in range(7)]
+    elif kind == 2:
+        texts = [(rng.choice(passages)[: rng.randrange(1, 9)] * rng.randrange(2, 12))[rng.randrange(3) :] + ["z"] * rng.randrange(3) for _ in range(5)]
+    else:
+        texts = [sum((rng.choice(passages) + [f"y{rng.randrange(3)}"] * rng.randrange(2) for _ in range(4)), []) for _ in range(5)]
+    return texts + [rng.choice(texts)]
+
+
+@pytest.mark.parametrize("min_lines", [1, 3])
+def test_clone_groups_of_random_texts(spark, min_lines):
+    rng, rows, want = random.Random(7), [], set()
+    for n in range(40):
+        lined = {}
+        for k, t in enumerate(random_texts(rng)):
+            layout = random.Random(" ".join(t))  # equal token streams have equal lines
+            lined[f"{n:02}-{k}"] = [(w, layout.random() < 0.3) for w in t]
+        rows += [(f, f"l{n}", "".join(w + ("\n" if e else " ") for w, e in t)) for f, t in lined.items()]
+        texts = {f: [(w, 1 + sum(e for _, e in t[:i])) for i, (w, _) in enumerate(t)] for f, t in lined.items()}
+        want |= {(f"l{n}", *g) for g in clone_groups(texts, 5, min_lines)}
+    docs = spark.createDataFrame(rows, "file string, language string, text string")
+    got = clones.groups(docs, 5, min_lines).collect()
+    assert {(r.language, r.tokens, r.occurrences, r.files, r.first_file, r.first_start) for r in got} == want
+
+
+def test_a_passage_of_many_texts_costs_rows_not_pairs(spark, monkeypatch):
+    n, passage, most, cut = 300, " ".join(f"w{k}" for k in range(9)), [], clones.cut
+
+    def counted(df):
+        out = cut(df)
+        most.append(out.count())
+        return out
+
+    monkeypatch.setattr(clones, "cut", counted)
+    docs = spark.createDataFrame([(f, "x", f"a{f} {passage} b{f}") for f in range(n)], "file long, language string, text string")
+    (r,) = clones.groups(docs, 6).collect()
+    assert (r.tokens, r.occurrences, r.files, r.first_file, r.first_start) == (9, n, n, 0, 2)
+    assert max(most) <= 4 * n
+
+
 def test_stems_match_in_the_directory_first(spark):
     src = spark.createDataFrame([("d/x.py", "d", "x"), ("e/x.py", "e", "x"), ("e/y.py", "e", "y")], "path string, directory string, stem string")
     tst = spark.createDataFrame([("d/test_x.py", "d", "x"), ("f/test_x.py", "f", "x"), ("f/test_y.py", "f", "y")], "path string, directory string, stem string")
